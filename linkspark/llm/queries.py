@@ -6,13 +6,19 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .common import table
 from .quality_rules import quality_rules
+from .simhash import simhash_components
 
 
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(table(spark, sf_dir, "documents")).drop("spans")
 
 
+def op3_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash_components(table(spark, sf_dir, "documents"), width=4, max_bits=4).drop("fp")
+
+
 QUERIES = {
+    "op3_simhash_near_dedup": op3_simhash_near_dedup,
     "op4_quality_rules": op4_quality_rules,
 }
 
