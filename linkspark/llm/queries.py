@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from .common import table
 from .quality_rules import quality_rules
 from .simhash import simhash_components
+from .toxicity import toxicity
 
 
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -17,8 +18,13 @@ def op3_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_components(table(spark, sf_dir, "documents"), width=4, max_bits=4).drop("fp")
 
 
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 QUERIES = {
     "op3_simhash_near_dedup": op3_simhash_near_dedup,
+    "op10_toxicity": op10_toxicity,
     "op4_quality_rules": op4_quality_rules,
 }
 
