@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from .common import table
+from .quality_classifier import quality_classifier
 from .quality_rules import quality_rules
 from .simhash import simhash_components
 from .toxicity import toxicity
@@ -22,9 +23,14 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_classifier(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 QUERIES = {
     "op3_simhash_near_dedup": op3_simhash_near_dedup,
     "op10_toxicity": op10_toxicity,
+    "op9_quality_classifier": op9_quality_classifier,
     "op4_quality_rules": op4_quality_rules,
 }
 
