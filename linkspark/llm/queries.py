@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from .common import table
+from .packing import pack
 from .quality_classifier import quality_classifier
 from .quality_rules import quality_rules
 from .simhash import simhash_components
@@ -27,10 +28,15 @@ def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_classifier(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op3_simhash_near_dedup": op3_simhash_near_dedup,
     "op10_toxicity": op10_toxicity,
     "op9_quality_classifier": op9_quality_classifier,
+    "op8_best_fit_packing": op8_best_fit_packing,
     "op4_quality_rules": op4_quality_rules,
 }
 
