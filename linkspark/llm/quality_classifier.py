@@ -119,10 +119,7 @@ def train(docs: DataFrame, labels: DataFrame, modulus: int = 5, held: int = 0, p
     return model.logits()
 
 
-def quality_classifier(docs: DataFrame, labels: DataFrame, modulus: int = 5, held: int = 0, **how) -> DataFrame:
-    """doc_id, held_out, score and predicted (1: good) of every row of ``docs``."""
-    model = train(docs, labels, modulus, held, **how)
-
+def _scorer(model):
     def make():
         def of_word(word: bytes) -> complex:
             ids = word_features(word)
@@ -130,7 +127,7 @@ def quality_classifier(docs: DataFrame, labels: DataFrame, modulus: int = 5, hel
 
         memory = Remembered(of_word)
 
-        def score(text: bytes) -> float:
+        def one(text: bytes) -> float:
             words = text.split()
             if not words or model is None:
                 return 0.0
@@ -139,11 +136,34 @@ def quality_classifier(docs: DataFrame, labels: DataFrame, modulus: int = 5, hel
             m = (total.real + again * model[0][AGAIN]) / (total.imag + again) + model[1]
             return float(1 / (1 + np.exp(-np.clip(m, -500, 500))))
 
+        return lambda texts: np.array([one(t) for t in texts], float)
+
+    return make
+
+
+def quality_classifier(docs: DataFrame, labels: DataFrame, modulus: int = 5, held: int = 0, **how) -> DataFrame:
+    """doc_id, held_out, score and predicted (1: good) of every row of ``docs``."""
+    make_score = _scorer(train(docs, labels, modulus, held, **how))
+
+    def make():
+        score = make_score()
+
         def each(batch: pa.RecordBatch) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([batch.column(0), pa.array([score(t) for t in to_bytes(batch.column(1))], pa.float64())], ["doc_id", "score"])
+            return pa.RecordBatch.from_arrays([batch.column(0), pa.array(score(to_bytes(batch.column(1))), pa.float64())], ["doc_id", "score"])
 
         return each
 
-    cast = docs.select(docs["doc_id"].cast("long").alias("doc_id"), "text")
-    scored = map_batches(cast, make, "doc_id long, score double")
+    scored = map_batches(docs.select(docs["doc_id"].cast("long").alias("doc_id"), "text"), make, "doc_id long, score double")
     return scored.select("doc_id", learn_side("doc_id", modulus, held).alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
+
+
+def keep_good(docs: DataFrame, labels: DataFrame, modulus: int = 5, held: int = 0, **how) -> DataFrame:
+    """The rows of ``docs``, all columns as they are, that reach the threshold."""
+    make_score = _scorer(train(docs, labels, modulus, held, **how))
+    text = docs.columns.index("text")
+
+    def make():
+        score = make_score()
+        return lambda batch: batch.filter(pa.array(score(to_bytes(batch.column(text))) >= THRESHOLD))
+
+    return map_batches(docs, make, docs.schema)

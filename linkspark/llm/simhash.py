@@ -23,7 +23,7 @@ from itertools import accumulate
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import connected_components, map_batches, materialize, small_batches, star_edges, to_bytes
@@ -221,8 +221,7 @@ def drop_near_copies(docs: DataFrame, **how) -> DataFrame:
     doc_id can't be told from others by name; it stays.
     """
     first = simhash_components(docs, **how).where("doc_id = component_id").select("doc_id").distinct()
-    from pyspark.sql import Window
-
+    nth = "_".join(["row", *docs.columns])  # a name that no column has
     row = F.row_number().over(Window.partitionBy("doc_id").orderBy("doc_id"))
-    kept = docs.join(first, "doc_id", "left_semi").withColumn("_row", row).where("_row = 1").drop("_row")
+    kept = docs.join(first, "doc_id", "left_semi").withColumn(nth, row).where(F.col(nth) == 1)
     return kept.select(*docs.columns).unionByName(docs.where("doc_id is null"))

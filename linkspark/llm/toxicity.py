@@ -66,7 +66,7 @@ class Terms:
                 memory[w] = ids
             if ids:
                 found.update(ids)
-        return np.fromiter(found, np.int64, len(found))
+        return np.fromiter(found, np.int32, len(found))
 
 
 def select_terms(docs: list[np.ndarray], y: np.ndarray, least_docs: int) -> np.ndarray:
@@ -76,14 +76,18 @@ def select_terms(docs: list[np.ndarray], y: np.ndarray, least_docs: int) -> np.n
     lets few terms in.
     """
     n = [max(int((y == c).sum()), 1) for c in (0, 1)]
-    df = [np.bincount(np.concatenate([d for d, t in zip(docs, y, strict=True) if t == c] or [np.empty(0, np.int64)]), minlength=1 << BITS).astype(float) for c in (0, 1)]
+    seen = [np.unique(np.concatenate([d for d, t in zip(docs, y, strict=True) if t == c] or [np.empty(0, np.int64)]), return_counts=True) for c in (0, 1)]
+    terms = np.union1d(seen[0][0], seen[1][0])
+    df = [np.zeros(len(terms)), np.zeros(len(terms))]
+    for c in (0, 1):
+        df[c][np.searchsorted(terms, seen[c][0])] = seen[c][1]
     tested = df[0] + df[1] >= least_docs
     share = (df[0] + df[1]) / (n[0] + n[1])
-    ratio = np.zeros(1 << BITS)
+    ratio = np.zeros(len(terms))
     for c in (0, 1):
-        for seen, expected in ((df[c], share * n[c]), (n[c] - df[c], (1 - share) * n[c])):
-            ratio += 2 * seen * np.log(np.where(seen > 0, seen / np.maximum(expected, 1e-12), 1))
-    return np.flatnonzero(tested & (ratio >= max(10.0, 1.5 * np.log(max(int(tested.sum()), 1)))))
+        for found, expected in ((df[c], share * n[c]), (n[c] - df[c], (1 - share) * n[c])):
+            ratio += 2 * found * np.log(np.where(found > 0, found / np.maximum(expected, 1e-12), 1))
+    return terms[tested & (ratio >= max(10.0, 1.5 * np.log(max(int(tested.sum()), 1))))]
 
 
 class FactorizationMachine:
@@ -131,22 +135,42 @@ def train(docs: DataFrame, labels: DataFrame, modulus: int = 3, held: int = 1, p
     return kept, machine
 
 
+def _scorer(model):
+    def make():
+        terms = Terms(model[0]) if model else None
+
+        def score(texts: list[bytes]) -> np.ndarray:
+            m = np.array([model[1].margin(terms(t)) for t in texts] if model else [-np.inf] * len(texts), float)
+            return 1 / (1 + np.exp(-np.clip(m, -700, 700)))
+
+        return score
+
+    return make
+
+
 def toxicity(docs: DataFrame, labels: DataFrame, modulus: int = 3, held: int = 1, **how) -> DataFrame:
     """doc_id, held_out, score and predicted (1: toxic) of every row of ``docs``."""
-    model = train(docs, labels, modulus, held, **how)
-    cast = docs.select(docs["doc_id"].cast("long").alias("doc_id"), "text")
+    make_score = _scorer(train(docs, labels, modulus, held, **how))
 
     def make():
-        terms = Terms(model[0]) if model else None
+        score = make_score()
 
         def each(batch: pa.RecordBatch) -> pa.RecordBatch:
-            texts = to_bytes(batch.column(1))
-            m = np.array([model[1].margin(terms(t)) for t in texts]) if model else np.full(len(texts), -np.inf)
-            with np.errstate(over="ignore"):
-                score = 1 / (1 + np.exp(-m))
-            return pa.RecordBatch.from_arrays([batch.column(0), pa.array(score)], ["doc_id", "score"])
+            return pa.RecordBatch.from_arrays([batch.column(0), pa.array(score(to_bytes(batch.column(1))), pa.float64())], ["doc_id", "score"])
 
         return each
 
-    scored = map_batches(cast, make, "doc_id long, score double")
+    scored = map_batches(docs.select(docs["doc_id"].cast("long").alias("doc_id"), "text"), make, "doc_id long, score double")
     return scored.select("doc_id", learn_side("doc_id", modulus, held).alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
+
+
+def drop_toxic(docs: DataFrame, labels: DataFrame, modulus: int = 3, held: int = 1, **how) -> DataFrame:
+    """The rows of ``docs``, all columns as they are, that score below the threshold."""
+    make_score = _scorer(train(docs, labels, modulus, held, **how))
+    text = docs.columns.index("text")
+
+    def make():
+        score = make_score()
+        return lambda batch: batch.filter(pa.array(score(to_bytes(batch.column(text))) < THRESHOLD))
+
+    return map_batches(docs, make, docs.schema)
