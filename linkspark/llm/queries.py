@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from .common import table
 from .packing import pack
@@ -10,6 +11,7 @@ from .quality_classifier import quality_classifier
 from .quality_rules import quality_rules
 from .simhash import simhash_components
 from .toxicity import toxicity
+from .warc import warc_captures
 
 
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -32,7 +34,14 @@ def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"))
 
 
+def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = warc_captures(table(spark, sf_dir, "pages"))
+    digest = F.coalesce("capture.payload_digest", "capture.digest").alias("payload_digest")
+    return c.select("capture.page_id", "capture.payload_bytes", digest, F.col("capture.kind").alias("record_type"), F.col("capture.refers_page").alias("refers_to"))
+
+
 QUERIES = {
+    "op2_warc": op2_warc,
     "op3_simhash_near_dedup": op3_simhash_near_dedup,
     "op10_toxicity": op10_toxicity,
     "op9_quality_classifier": op9_quality_classifier,
@@ -40,4 +49,13 @@ QUERIES = {
     "op4_quality_rules": op4_quality_rules,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op2_warc": """
+WITH p AS (
+  SELECT page_id, CAST(strlen(coalesce(html, '')) AS BIGINT) AS payload_bytes, sha256(coalesce(html, '')) AS payload_digest FROM pages),
+f AS (SELECT *, min(page_id) OVER (PARTITION BY payload_digest) AS first_id FROM p)
+SELECT page_id, payload_bytes, payload_digest,
+  CASE WHEN payload_bytes >= 100 AND page_id <> first_id THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN payload_bytes >= 100 AND page_id <> first_id THEN first_id END AS refers_to
+FROM f""",
+}
