@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import table
+from .embedding_dedup import embedding_components
 from .packing import pack
 from .quality_classifier import quality_classifier
 from .quality_rules import quality_rules
@@ -40,12 +41,17 @@ def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return c.select("capture.page_id", "capture.payload_bytes", digest, F.col("capture.kind").alias("record_type"), F.col("capture.refers_page").alias("refers_to"))
 
 
+def op5_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_components(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES = {
     "op2_warc": op2_warc,
     "op3_simhash_near_dedup": op3_simhash_near_dedup,
     "op10_toxicity": op10_toxicity,
     "op9_quality_classifier": op9_quality_classifier,
     "op8_best_fit_packing": op8_best_fit_packing,
+    "op5_embedding_near_dedup": op5_embedding_near_dedup,
     "op4_quality_rules": op4_quality_rules,
 }
 
@@ -58,4 +64,19 @@ SELECT page_id, payload_bytes, payload_digest,
   CASE WHEN payload_bytes >= 100 AND page_id <> first_id THEN 'revisit' ELSE 'response' END AS record_type,
   CASE WHEN payload_bytes >= 100 AND page_id <> first_id THEN first_id END AS refers_to
 FROM f""",
+    # whole tables: at 10 labels the pairs of equal labels are few enough at sf0.01
+    "op5_embedding_near_dedup": """
+WITH RECURSIVE e AS (
+  SELECT vec_id, label, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS v FROM embeddings WHERE label IS NOT NULL AND embedding IS NOT NULL),
+link AS (
+  SELECT a.vec_id AS u, b.vec_id AS v FROM e a JOIN e b ON a.label = b.label AND a.vec_id <> b.vec_id
+  WHERE list_cosine_similarity(a.v, b.v) >= 0.98),
+reach AS (
+  SELECT u, v FROM link UNION SELECT r.u, l.v FROM reach r JOIN link l ON r.v = l.u),
+low AS (SELECT u, min(v) AS v FROM reach GROUP BY u),
+n AS (SELECT u, count(*) AS n FROM link GROUP BY u)
+SELECT m.vec_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_links,
+  least(m.vec_id, coalesce(low.v, m.vec_id)) AS component_id,
+  least(m.vec_id, coalesce(low.v, m.vec_id)) = m.vec_id AS kept
+FROM embeddings m LEFT JOIN low ON m.vec_id = low.u LEFT JOIN n ON m.vec_id = n.u""",
 }
