@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from .common import table
 from .embedding_dedup import embedding_components
+from .language_id import language_id
 from .packing import pack
 from .quality_classifier import quality_classifier
 from .quality_rules import quality_rules
@@ -45,6 +46,10 @@ def op5_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding_components(table(spark, sf_dir, "embeddings"))
 
 
+def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op2_warc": op2_warc,
     "op3_simhash_near_dedup": op3_simhash_near_dedup,
@@ -52,6 +57,7 @@ QUERIES = {
     "op9_quality_classifier": op9_quality_classifier,
     "op8_best_fit_packing": op8_best_fit_packing,
     "op5_embedding_near_dedup": op5_embedding_near_dedup,
+    "op6_language_id": op6_language_id,
     "op4_quality_rules": op4_quality_rules,
 }
 
