@@ -14,9 +14,10 @@ all documents where labels of both classes are lacking.
 
 from __future__ import annotations
 
+from collections import Counter
+
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -26,46 +27,53 @@ from .learning import labelled_sample
 BUCKETS = 1 << 16
 NGRAMS = (3, 4)
 THRESHOLD = 0.3
-MEMORY = 150_000  # words a task remembers
-AGAIN = 0  # the bucket of "same word as before"
-
+MEMORY = 400_000  # words a task remembers from one batch to the next
+AGAIN, AGAIN_TIMES = 0, 8  # the bucket of "same word as before"; it counts as often as a word has features
 
-def word_features(word: bytes) -> np.ndarray:
-    w = "<" + word.decode("utf-8", "replace") + ">"
-    parts = {w[i : i + n] for n in NGRAMS for i in range(len(w) - n + 1)}
-    parts.discard(w)
-    ids = [xxhash.xxh64_intdigest(w.encode(), 7)] + [xxhash.xxh64_intdigest(p.encode(), 8) for p in parts]
-    return np.array([1 + i % (BUCKETS - 1) for i in ids], np.int32)
 
+MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 
-class Remembered(dict):
-    """word -> what ``make`` gives, emptied between documents when it is full."""
 
-    def __init__(self, make):
-        super().__init__()
-        self.make = make
+def _buckets(h: np.ndarray) -> np.ndarray:
+    h = (h ^ (h >> np.uint64(32))) * MULTIPLIER
+    return 1 + ((h ^ (h >> np.uint64(29))) % np.uint64(BUCKETS - 1)).astype(np.int64)
 
-    def __missing__(self, word: bytes):
-        out = self[word] = self.make(word)
-        return out
 
-    def tidy(self) -> None:
-        if len(self) > MEMORY:
-            self.clear()
+def word_features(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """The features of all words at once, and the word that each belongs to."""
+    marked = ["<" + w.decode("utf-8", "replace") + ">" for w in words]
+    size = np.array([len(w) for w in marked], np.int64)
+    c = np.frombuffer("".join(marked).encode("utf-32-le", "surrogatepass"), "<u4").astype(np.uint64) + np.uint64(1)
+    begin = np.cumsum(size) - size
+    word = np.repeat(np.arange(len(words)), size)
+    place = np.arange(len(c)) - begin[word]
+    power = np.cumprod(np.full(int(size.max(initial=1)), MULTIPLIER))
+    ids, owner = [_buckets(np.add.reduceat(c * power[place], begin) if len(c) else c)], [np.arange(len(words))]
+    for n in NGRAMS:
+        at = np.flatnonzero(place + n <= size[word])
+        h = np.full(len(at), np.uint64(n))
+        for k in range(n):
+            h = h * MULTIPLIER + c[at + k]
+        ids.append(_buckets(h))
+        owner.append(word[at])
+    return np.concatenate(ids), np.concatenate(owner)
 
 
 def repeats(words: list[bytes]) -> int:
-    return sum(map(bytes.__eq__, words[1:], words[:-1]))
+    return AGAIN_TIMES * sum(map(bytes.__eq__, words[1:], words[:-1]))
 
 
-def doc_features(text: bytes, memory: Remembered) -> tuple[np.ndarray, np.ndarray]:
+def doc_features(text: bytes) -> tuple[np.ndarray, np.ndarray]:
     """Distinct features and their shares of all."""
     words = text.split()
     if not words:
-        return np.empty(0, np.int64), np.empty(0)
-    ids = np.concatenate([memory[w] for w in words] + [np.full(repeats(words), AGAIN, np.int32)])
-    found, n = np.unique(ids, return_counts=True)
-    return found, (n / len(ids)).astype(np.float32)
+        return np.empty(0, np.int64), np.empty(0, np.float32)
+    count = Counter(words)
+    ids, word = word_features(list(count))
+    times = np.fromiter(count.values(), np.float64, len(count))[word]
+    found, at = np.unique(np.append(ids, AGAIN), return_inverse=True)
+    n = np.bincount(at, np.append(times, repeats(words)))
+    return found, (n / n.sum()).astype(np.float32)
 
 
 class Subwords:
@@ -100,7 +108,7 @@ class Subwords:
         return (self.e @ (self.out[1] - self.out[0])).astype(np.float64), float(self.bias[1] - self.bias[0])
 
 
-def train(docs: DataFrame, labels: DataFrame, modulus: int = 5, held: int = 0, per_class: tuple[int, int] = (1500, 2500), max_chars: int = 10_000, dim: int = 16, updates: int = 24_000, step: float = 0.1, seed: int = 9):
+def train(docs: DataFrame, labels: DataFrame, modulus: int = 5, held: int = 0, per_class: tuple[int, int] = (2000, 2000), max_chars: int = 10_000, dim: int = 16, updates: int = 24_000, step: float = 0.1, seed: int = 9):
     """The features' logits and the bias, from at most ``per_class`` labelled rows (bad, good).
 
     The steps are as many at any size: few rows are gone through more often.
@@ -109,11 +117,7 @@ def train(docs: DataFrame, labels: DataFrame, modulus: int = 5, held: int = 0, p
     y = np.array([r[2] for r in rows], np.int64)
     if len(set(y.tolist())) < 2:
         return None
-    memory = Remembered(word_features)
-    ready = []
-    for _, text, _ in rows:
-        ready.append(doc_features(text.encode("utf-8", "replace"), memory))
-        memory.tidy()
+    ready = [doc_features(text.encode("utf-8", "replace")) for _, text, _ in rows]
     model = Subwords(dim, seed)
     model.fit(ready, y, max(1, updates // len(ready)), step, seed)
     return model.logits()
@@ -121,22 +125,31 @@ def train(docs: DataFrame, labels: DataFrame, modulus: int = 5, held: int = 0, p
 
 def _scorer(model):
     def make():
-        def of_word(word: bytes) -> complex:
-            ids = word_features(word)
-            return complex(float(model[0][ids].sum()), len(ids))
+        memory: dict[bytes, complex] = {}  # word: the sum of its features' logits, and how many they are
 
-        memory = Remembered(of_word)
+        def learn(words: set[bytes]) -> None:
+            if len(memory) > MEMORY:
+                memory.clear()
+            new = [w for w in words if w not in memory]
+            if new:
+                ids, word = word_features(new)
+                sums = np.bincount(word, model[0][ids], len(new)) + 1j * np.bincount(word, minlength=len(new))
+                memory.update(zip(new, sums.tolist(), strict=True))
 
         def one(text: bytes) -> float:
             words = text.split()
             if not words or model is None:
                 return 0.0
-            memory.tidy()
             total, again = sum(map(memory.__getitem__, words)), repeats(words)
             m = (total.real + again * model[0][AGAIN]) / (total.imag + again) + model[1]
             return float(1 / (1 + np.exp(-np.clip(m, -500, 500))))
 
-        return lambda texts: np.array([one(t) for t in texts], float)
+        def score(texts: list[bytes]) -> np.ndarray:
+            if model is not None:
+                learn(set().union(*(t.split() for t in texts)))
+            return np.array([one(t) for t in texts], float)
+
+        return score
 
     return make
 
