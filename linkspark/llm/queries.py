@@ -9,6 +9,7 @@ from .common import table
 from .embedding_dedup import embedding_components
 from .language_id import language_id
 from .packing import pack
+from .pieces import encode_documents
 from .quality_classifier import quality_classifier
 from .quality_rules import quality_rules
 from .simhash import simhash_components
@@ -50,7 +51,12 @@ def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id(table(spark, sf_dir, "documents"))
 
 
+def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return encode_documents(table(spark, sf_dir, "documents"), n=3)
+
+
 QUERIES = {
+    "op1_sentencepiece": op1_sentencepiece,
     "op2_warc": op2_warc,
     "op3_simhash_near_dedup": op3_simhash_near_dedup,
     "op10_toxicity": op10_toxicity,
