@@ -15,8 +15,12 @@ are packed like any other; other columns are ignored.
 
 from __future__ import annotations
 
+import hashlib
+import json
 import os
+import re
 import zlib
+from array import array
 from collections.abc import Iterator
 from pathlib import Path
 
@@ -30,7 +34,7 @@ from .common import map_batches, materialize, small_batches, to_bytes
 
 CAPACITY = 2048
 END_ID = 0
-MEMORY = 250_000  # words whose ids a task remembers, twice
+MEMORY = 600_000  # words whose ids a worker remembers, twice
 
 
 def tokenizer_json(path: str | None = None) -> str:
@@ -42,63 +46,111 @@ def tokenizer_json(path: str | None = None) -> str:
     return Path(path).read_text(encoding="utf-8")
 
 
+_LETTERS = re.compile("[a-zA-ZÀ-ÖØ-öø-ÿ]+").fullmatch
+_TAIL = re.compile("[a-zA-ZÀ-ÖØ-öø-ÿ][.,]$").search
+
+
+def byte_letters() -> dict[int, str]:
+    """The printable character that a byte-level vocabulary writes for each byte."""
+    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    rest = [b for b in range(256) if b not in set(plain)]
+    return {b: chr(b) for b in plain} | {b: chr(256 + k) for k, b in enumerate(rest)}
+
+
 class WordTokens:
     """Ids of texts, as little-endian unsigned 32-bit numbers.
 
-    The tokenizer drops white space and never joins what stands on either side
-    of it, so a text's ids are those of its words, which are remembered. Words
-    that are new in a batch are encoded together. What is remembered is bounded:
-    two generations, of which the older goes when the newer is full.
+    The tokenizer drops white space, lower-cases and never joins letters with
+    what isn't a letter. So a text's ids are those of its words; a full stop or
+    comma after a letter is a word of its own; capitals needn't be told apart
+    (but where a combining mark or a special token's beginning stands, texts stay
+    as they are). Words of plain letters skip the tokenizer's normalization,
+    which changes nothing in them. Words new in a batch are encoded together and
+    remembered for later ones: two generations, of which the older goes when the
+    newer is full.
     """
 
-    def __init__(self, json: str):
+    def __init__(self, source: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.tokenizer = Tokenizer.from_str(json)
+        self.whole = Tokenizer.from_str(source)
+        self.bare = Tokenizer.from_str(json.dumps(json.loads(source) | {"normalizer": None, "pre_tokenizer": None, "added_tokens": []}))
+        self.letters = byte_letters()
         self.new: dict[bytes, bytes] = {}
         self.old: dict[bytes, bytes] = {}
 
+    @staticmethod
+    def words(text: bytes) -> list[bytes]:
+        if b"<|" in text or b"\xcc" in text or b"\xcd" in text:
+            return text.split()
+        return text.lower().split()
+
+    def _encode(self, words: list[bytes]) -> None:
+        plain, other, tails = [], [], []
+        for w in words:
+            t = w.decode("utf-8", "replace")
+            if _LETTERS(t):
+                plain.append((w, t))
+            elif w[-1:] in (b".", b",") and _TAIL(t):
+                tails.append(w)
+            else:
+                other.append((w, t))
+        cores = {w[:-1] for w in tails} | {w[-1:] for w in tails}
+        cores.difference_update(self.new, (w for w, _ in plain), (w for w, _ in other))
+        for w in cores:
+            t = w.decode("utf-8", "replace")
+            (plain if _LETTERS(t) else other).append((w, t))
+        for tokenizer, part in ((self.bare, [(w, t.lower().encode().decode("latin-1").translate(self.letters)) for w, t in plain]), (self.whole, other)):
+            if part:
+                made = tokenizer.encode_batch_fast([t for _, t in part], add_special_tokens=False)
+                self.new.update((w, array("I", e.ids).tobytes()) for (w, _), e in zip(part, made, strict=True))
+        self.new.update((w, self.new[w[:-1]] + self.new[w[-1:]]) for w in tails)
+
     def learn(self, words: set[bytes]) -> None:
         if len(self.new) > MEMORY:
             self.old, self.new = self.new, {}
-        new, old = self.new, self.old
-        rest = []
+        missing = words.difference(self.new)
+        again = [w for w in missing if w in self.old]
+        self.new.update((w, self.old[w]) for w in again)
+        missing.difference_update(again)
+        rest = list(missing)
+        for at in range(0, len(rest), 20_000):
+            self._encode(rest[at : at + 20_000])
+
+    def __call__(self, texts: list[bytes]) -> Iterator[np.ndarray]:
+        words = [self.words(t) for t in texts]
+        self.learn(set().union(*words))
         for w in words:
-            if w not in new:
-                ids = old.get(w)
-                if ids is None:
-                    rest.append(w)
-                else:
-                    new[w] = ids
-        for at in range(0, len(rest), 10_000):
-            part = rest[at : at + 10_000]
-            made = self.tokenizer.encode_batch_fast([w.decode("utf-8", "replace") for w in part], add_special_tokens=False)
-            new.update((w, np.array(e.ids, "<u4").tobytes()) for w, e in zip(part, made, strict=True))
-
-    def __call__(self, text: bytes) -> np.ndarray:
-        words = text.split()
-        out = []
-        for at in range(0, len(words), 50_000):  # a very long text a part at a time
-            part = words[at : at + 50_000]
-            self.learn(set(part))
-            out += map(self.new.__getitem__, part)
-        return np.frombuffer(b"".join(out), "<u4")
-
-
-def pieces(docs: DataFrame, json: str, capacity: int = CAPACITY, with_ids: bool = False) -> DataFrame:
+            yield np.frombuffer(b"".join(map(self.new.__getitem__, w)), "<u4")
+
+
+_MADE: dict[str, WordTokens] = {}  # of this worker, for its next tasks too
+
+
+def word_tokens(source: str) -> WordTokens:
+    key = hashlib.sha256(source.encode()).hexdigest()
+    if key not in _MADE:
+        _MADE.clear()
+        _MADE[key] = WordTokens(source)
+    return _MADE[key]
+
+
+def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, with_ids: bool = False) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32, part and local: the ``local``-th
     piece of its length in its ``part`` (a task); with_ids adds the ids."""
     schema = "doc_id long, piece int, start long, length long, ids_crc32 long, part long, local long" + ", ids array<long>" * with_ids
     names = [x.split()[0] for x in schema.split(", ")]
     kinds = [pa.int64(), pa.int32(), *[pa.int64()] * 5, *[pa.list_(pa.int64())] * with_ids]
 
+    source = docs.sparkSession.sparkContext.broadcast(tokenizer)  # a vocabulary, whatever the corpus
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, seen, part = WordTokens(json), {}, TaskContext.get().partitionId()
+        encode, seen, part = word_tokens(source.value), {}, TaskContext.get().partitionId()
         for batch in batches:
             rows: list[tuple] = []
-            for doc_id, text in zip(batch.column(0).to_pylist(), to_bytes(batch.column(1)), strict=True):
-                ids = np.append(encode(text), np.uint32(END_ID)).astype("<u4")
+            for doc_id, ids in zip(batch.column(0).to_pylist(), encode(to_bytes(batch.column(1))), strict=True):
+                ids = np.append(ids, np.uint32(END_ID)).astype("<u4")
                 for k, start in enumerate(range(0, len(ids), capacity)):
                     own = ids[start : start + capacity]
                     local = seen[len(own)] = seen.get(len(own), -1) + 1
