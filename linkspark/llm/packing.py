@@ -87,24 +87,32 @@ class WordTokens:
         return text.lower().split()
 
     def _encode(self, words: list[bytes]) -> None:
-        plain, other, tails = [], [], []
-        for w in words:
+        plain: dict[bytes, str] = {}
+        other: dict[bytes, str] = {}
+        tails = []
+
+        def sort(w: bytes) -> None:
+            if w.isalpha() and w.islower():  # of bytes: a to z only
+                plain[w] = w.decode()
+                return
             t = w.decode("utf-8", "replace")
             if _LETTERS(t):
-                plain.append((w, t))
-            elif w[-1:] in (b".", b",") and _TAIL(t):
+                plain[w] = t.lower().encode().decode("latin-1").translate(self.letters)
+            else:
+                other[w] = t
+
+        for w in words:
+            if w[-1:] in (b".", b",") and (w[:-1].isalpha() or _TAIL(w.decode("utf-8", "replace"))):
                 tails.append(w)
             else:
-                other.append((w, t))
-        cores = {w[:-1] for w in tails} | {w[-1:] for w in tails}
-        cores.difference_update(self.new, (w for w, _ in plain), (w for w, _ in other))
-        for w in cores:
-            t = w.decode("utf-8", "replace")
-            (plain if _LETTERS(t) else other).append((w, t))
-        for tokenizer, part in ((self.bare, [(w, t.lower().encode().decode("latin-1").translate(self.letters)) for w, t in plain]), (self.whole, other)):
+                sort(w)
+        for w in {w[:-1] for w in tails} | {w[-1:] for w in tails}:
+            if w not in self.new and w not in plain and w not in other:
+                sort(w)
+        for tokenizer, part in ((self.bare, plain), (self.whole, other)):
             if part:
-                made = tokenizer.encode_batch_fast([t for _, t in part], add_special_tokens=False)
-                self.new.update((w, array("I", e.ids).tobytes()) for (w, _), e in zip(part, made, strict=True))
+                made = tokenizer.encode_batch_fast(list(part.values()), add_special_tokens=False)
+                self.new.update(zip(part, [array("I", e.ids).tobytes() for e in made], strict=True))
         self.new.update((w, self.new[w[:-1]] + self.new[w[-1:]]) for w in tails)
 
     def learn(self, words: set[bytes]) -> None:
