@@ -14,7 +14,7 @@ def read_matrix(spark: SparkSession, path: str, n_rows: int | None = None, n_col
     One file is one matrix, as its row numbers are positions: it is read whole,
     so this is for matrices, not for tables.
     """
-    rows = spark.read.option("wholetext", True).text(path).select(F.filter(F.split("value", r"\s+"), lambda x: x != "").alias("rows"))
+    rows = spark.read.text(path, wholetext=True).select(F.filter(F.split("value", r"\s+"), lambda x: x != "").alias("rows"))
     cells = rows.select(F.posexplode("rows").alias("r", "row")).select("r", F.posexplode(F.split("row", ",")).alias("c", "v")).where("v <> ''")
     out = cells.select(F.col("r").cast("long").alias("r"), F.col("c").cast("long").alias("c"), F.col("v").cast("float").cast("double").alias("v"))
     if n_rows is not None:
@@ -24,7 +24,7 @@ def read_matrix(spark: SparkSession, path: str, n_rows: int | None = None, n_col
 
 def read_vector(spark: SparkSession, path: str, n: int | None = None, bias: bool = True) -> DataFrame:
     """(i, v) of a file's first line; with ``bias`` one more number than n is taken."""
-    line = spark.read.option("wholetext", True).text(path).select(F.split("value", "\n").getItem(0).alias("line"))
+    line = spark.read.text(path, wholetext=True).select(F.split("value", "\n").getItem(0).alias("line"))
     cells = line.select(F.posexplode(F.split("line", ",")).alias("i", "v")).where("trim(v) <> ''")
     out = cells.select(F.col("i").cast("long").alias("i"), F.trim("v").cast("float").cast("double").alias("v"))
     return out if n is None else out.where(F.col("i") < n + int(bias))
@@ -40,5 +40,5 @@ def decode_sequence(line):
 
 def recover_sequence(spark: SparkSession, path: str, index: int) -> DataFrame:
     """One row: the sequence in the file's line ``index`` (from 0)."""
-    line = spark.read.option("wholetext", True).text(path).select(F.get(F.split("value", "\n"), F.lit(index)).alias("line"))
+    line = spark.read.text(path, wholetext=True).select(F.get(F.split("value", "\n"), F.lit(index)).alias("line"))
     return line.select(decode_sequence(F.col("line")).alias("sequence"))
