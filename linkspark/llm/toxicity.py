@@ -140,7 +140,9 @@ def _scorer(model):
         terms = Terms(model[0]) if model else None
 
         def score(texts: list[bytes]) -> np.ndarray:
-            m = np.array([model[1].margin(terms(t)) for t in texts] if model else [-np.inf] * len(texts), float)
+            if model is None:
+                return np.zeros(len(texts))
+            m = np.array([model[1].margin(terms(t)) for t in texts], float)
             return 1 / (1 + np.exp(-np.clip(m, -700, 700)))
 
         return score
