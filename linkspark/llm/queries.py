@@ -23,7 +23,7 @@ def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return simhash_components(table(spark, sf_dir, "documents"), width=4, max_bits=4).drop("fp")
+    return simhash_components(table(spark, sf_dir, "documents"), width=4, max_bits=4).drop("fp0")
 
 
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -30,6 +30,7 @@ from .common import connected_components, map_batches, materialize, small_batche
 
 SEED = 42  # of XXH64
 CHUNK = 1 << 16  # shingles hashed at once
+MIX = np.uint64(0xD6E8FEB86659FD93)
 
 
 def shingles(text: bytes, width: int) -> list[bytes]:
@@ -42,57 +43,73 @@ def shingles(text: bytes, width: int) -> list[bytes]:
     return [joined[a : b - 1] for a, b in zip(starts, stops[width - 1 :], strict=False)]
 
 
-def fingerprint(text: bytes, width: int) -> int:
-    """The majority bits, as a signed 64-bit number."""
+def code(text: bytes, width: int, n_words: int = 1) -> list[int]:
+    """The majority bits of the shingles' hashes, as signed 64-bit numbers: the
+    first of XXH64 itself, each further one of a mix of it."""
     parts = shingles(text, width)
-    counts = np.zeros(64, np.int64)
+    counts = np.zeros((n_words, 64), np.int64)
     for at in range(0, len(parts), CHUNK):
         digest = xxhash.xxh64_intdigest
         h = np.array([digest(s, SEED) for s in parts[at : at + CHUNK]], np.uint64)
-        counts += np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return int(np.packbits(2 * counts > len(parts), bitorder="little").view(np.int64)[0])
+        for k in range(n_words):
+            counts[k] += np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+            h = (h ^ (h >> np.uint64(29))) * MIX
+            h = (h ^ (h >> np.uint64(32))) * MIX
+    return np.packbits(2 * counts > len(parts), axis=1, bitorder="little").view(np.int64)[:, 0].tolist()
 
 
-def fingerprints(docs: DataFrame, width: int) -> DataFrame:
-    """doc_id, fp of every row of ``docs``."""
+def names(n_words: int) -> list[str]:
+    return [f"fp{k}" for k in range(n_words)]
+
+
+def fingerprints(docs: DataFrame, width: int, n_words: int = 1) -> DataFrame:
+    """doc_id and fp0, fp1 ... of every row of ``docs``."""
+    columns = ["doc_id", *names(n_words)]
 
     def make():
         def each(batch: pa.RecordBatch) -> pa.RecordBatch:
-            fp = [fingerprint(x, width) for x in to_bytes(batch.column(1))]
-            return pa.RecordBatch.from_arrays([batch.column(0), pa.array(fp, pa.int64())], ["doc_id", "fp"])
+            fp = np.array([code(x, width, n_words) for x in to_bytes(batch.column(1))], np.int64)
+            return pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c) for c in fp.T.copy())], columns)
 
         return each
 
-    return map_batches(docs.select(docs["doc_id"].cast("long").alias("doc_id"), "text"), make, "doc_id long, fp long")
+    return map_batches(docs.select(docs["doc_id"].cast("long").alias("doc_id"), "text"), make, ", ".join(f"{c} long" for c in columns))
 
 
 class Segments:
-    """Cuts 64 bits into segments and gives each its ball's radius (0 or 1)."""
+    """Cuts the words of a code into segments; each has a ball of radius 0 or 1.
+
+    Balls of radius 1 go to as many segments as the pigeonhole principle asks for.
+    Beyond ``2 * segments - 1`` bits all have one; a pair farther apart is then
+    found if any of its segments differs in one bit at most.
+    """
 
-    def __init__(self, max_bits: int, n: int):
-        spare = max_bits - n + 1
-        if not 0 <= spare <= n:
-            raise ValueError(f"{n} segments can't serve {max_bits} bits with balls of radius 0 or 1")
+    def __init__(self, max_bits: int, n_segments: int, n_words: int = 1):
+        if n_segments % n_words:
+            raise ValueError("segments must cut each word alike")
+        n = n_segments // n_words
         cuts = [64 * k // n for k in range(n + 1)]
+        self.parts = [(w, a, b - a) for w in range(n_words) for a, b in zip(cuts, cuts[1:], strict=False)]
+        spare = min(max(max_bits - n_segments + 1, 0), n_segments)
         # the longest segments get the balls last: they are the most selective without one
-        self.parts = [(a, b - a) for a, b in zip(cuts, cuts[1:], strict=False)]
-        order = sorted(range(n), key=lambda k: self.parts[k][1])
-        self.radius = [int(k in order[:spare]) for k in range(n)]
-        self.shift = max(w for _, w in self.parts)
+        order = sorted(range(n_segments), key=lambda k: self.parts[k][2])
+        self.radius = [int(k in order[:spare]) for k in range(n_segments)]
+        self.shift = max(width for _, _, width in self.parts)
 
     def values(self, fp: np.ndarray) -> Iterator[tuple[int, int, np.ndarray]]:
-        for t, (low, width) in enumerate(self.parts):
-            yield t, width, (fp >> np.uint64(low)) & np.uint64((1 << width) - 1)
+        """fp: unsigned, a row per word."""
+        for t, (word, low, width) in enumerate(self.parts):
+            yield t, width, (fp[word] >> np.uint64(low)) & np.uint64((1 << width) - 1)
 
     def key(self, t: int, value: np.ndarray) -> np.ndarray:
         return ((np.uint64(t) << np.uint64(self.shift)) | value).astype(np.int64)
 
     def own(self, fp: np.ndarray) -> np.ndarray:
-        """The keys under which fingerprints stand: one row per segment."""
+        """The keys under which codes stand: one row per segment."""
         return np.stack([self.key(t, v) for t, _, v in self.values(fp)])
 
     def looked_up(self, fp: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Keys of the balls around, and which fingerprint looks there."""
+        """Keys of the balls around, and which code looks there."""
         keys, who = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
         for t, width, v in self.values(fp):
             for bit in range(width if self.radius[t] else 0):
@@ -102,12 +119,14 @@ class Segments:
         return np.concatenate(keys), np.concatenate(who)
 
 
-def _close(fp: np.ndarray, i: np.ndarray, j: np.ndarray, max_bits: int) -> np.ndarray:
-    return np.bitwise_count(fp[i] ^ fp[j]) <= max_bits
+def distance(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Bits in which codes differ; words are the rows of the arrays."""
+    return np.bitwise_count(a ^ b).astype(np.int16).sum(axis=0)
 
 
 def matches(cell: np.ndarray, block: np.ndarray, asks: np.ndarray, fp: np.ndarray, old: np.ndarray, max_bits: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Verified pairs of equal cells, of which one at least isn't ``old`` and one stands.
+    """Positions of verified pairs of equal cells, of which one at least isn't
+    ``old`` and one stands.
 
     Rows come sorted by cell, those that ask last. In a cell of two blocks only
     rows of different blocks are paired (``block`` is -1 elsewhere).
@@ -117,16 +136,14 @@ def matches(cell: np.ndarray, block: np.ndarray, asks: np.ndarray, fp: np.ndarra
     small = np.repeat(size <= 32, size)
     for d in range(1, int(size[size <= 32].max(initial=0))):
         i = np.flatnonzero(small[d:] & (cell[d:] == cell[:-d]) & ~(old[d:] & old[:-d]) & ~(asks[d:] & asks[:-d]) & ((block[d:] < 0) | (block[d:] != block[:-d])))
-        i = i[_close(fp, i, i + d, max_bits)]
-        yield fp[i], fp[i + d]
+        i = i[distance(fp[:, i], fp[:, i + d]) <= max_bits]
+        yield i, i + d
     for a, n in zip(begin[size > 32].tolist(), size[size > 32].tolist(), strict=True):
-        rows = np.arange(a, a + n)
-        stand = rows[~asks[a : a + n]]
-        for r, k in enumerate(stand.tolist()):
-            other = rows[rows > k] if r == 0 else rows[k - a + 1 :]
-            ok = (np.bitwise_count(fp[k] ^ fp[other]) <= max_bits) & ~(old[k] & old[other]) & ((block[other] < 0) | (block[other] != block[k]))
+        for k in range(a, a + n - int(asks[a : a + n].sum())):
+            other = np.arange(k + 1, a + n)
+            ok = (distance(fp[:, k : k + 1], fp[:, k + 1 : a + n]) <= max_bits) & ~(old[k] & old[other]) & ((block[other] < 0) | (block[other] != block[k]))
             hit = other[ok]
-            yield np.full(len(hit), fp[k]), fp[hit]
+            yield np.full(len(hit), k), hit
 
 
 def _edges(max_bits: int):
@@ -135,64 +152,67 @@ def _edges(max_bits: int):
         for batch in batches:
             if not batch.num_rows:
                 continue
-            key, lo, hi, block, asks, fp = (np.asarray(c) for c in batch.columns)
+            key, lo, hi, block, asks, node, *words = (np.asarray(c) for c in batch.columns)
             cell = np.stack([key, lo, hi], axis=1)
-            old = np.zeros(len(fp), bool)
-            fp = fp.view(np.uint64)
+            old = np.zeros(len(node), bool)
+            fp = np.stack([w.view(np.uint64) for w in words])
             if keep is not None and (keep[0][-1] == cell[0]).all():
-                cell, block, asks, fp = (np.concatenate([x, y]) for x, y in zip(keep, (cell, block, asks, fp), strict=True))
+                cell, block, asks, node = (np.concatenate([x, y]) for x, y in zip(keep[:4], (cell, block, asks, node), strict=True))
+                fp = np.concatenate([keep[4], fp], axis=1)
                 old = np.concatenate([np.ones(len(keep[0]), bool), old])
-            code = np.cumsum(np.concatenate([[0], (cell[1:] != cell[:-1]).any(axis=1)]))
+            place = np.cumsum(np.concatenate([[0], (cell[1:] != cell[:-1]).any(axis=1)]))
             ea, eb, held = [], [], 0
-            for a, b in matches(code, block, asks, fp, old, max_bits):
-                ea.append(a)
-                eb.append(b)
-                held += len(a)
+            for i, j in matches(place, block, asks, fp, old, max_bits):
+                ea.append(node[i])
+                eb.append(node[j])
+                held += len(i)
                 if held > 1 << 20:
-                    a, b = star_edges(np.concatenate(ea).view(np.int64), np.concatenate(eb).view(np.int64))
-                    ea, eb, held = [a.view(np.uint64)], [b.view(np.uint64)], len(a)
+                    a, b = star_edges(np.concatenate(ea), np.concatenate(eb))
+                    ea, eb, held = [a], [b], len(a)
             if held:
-                a, b = star_edges(np.concatenate(ea).view(np.int64), np.concatenate(eb).view(np.int64))
+                a, b = star_edges(np.concatenate(ea), np.concatenate(eb))
                 yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["u", "v"])
-            last = (code == code[-1]) & ~asks  # of the last cell, what later rows can meet
-            keep = (cell[last], block[last], asks[last], fp[last]) if last.any() else None
+            last = (place == place[-1]) & ~asks  # of the last cell, what later rows can meet
+            keep = (cell[last], block[last], asks[last], node[last], fp[:, last]) if last.any() else None
 
     return run
 
 
-def links(nodes: DataFrame, max_bits: int, n_segments: int, block_rows: int) -> DataFrame:
-    """Edges (u, v) between distinct fingerprints ``fp``: for each pair within
-    ``max_bits`` a path of such edges."""
-    seg = Segments(max_bits, n_segments)
+def links(nodes: DataFrame, max_bits: int, n_segments: int, block_rows: int, n_words: int = 1) -> DataFrame:
+    """Edges (u, v) between ``node`` values of distinct codes fp0, fp1 ...: for
+    each pair within ``max_bits`` a path of such edges."""
+    seg, fps = Segments(max_bits, n_segments, n_words), names(n_words)
 
-    def own():
-        def each(batch: pa.RecordBatch) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(seg.own(np.asarray(batch.column(0)).view(np.uint64)).ravel())], ["key"])
+    def unsigned(batch: pa.RecordBatch) -> np.ndarray:
+        return np.stack([np.asarray(batch.column(f)).view(np.uint64) for f in fps])
 
-        return each
+    def own():
+        return lambda batch: pa.RecordBatch.from_arrays([pa.array(seg.own(unsigned(batch)).ravel())], ["key"])
 
     def rows():
         def each(batch: pa.RecordBatch) -> pa.RecordBatch:
-            fp = np.asarray(batch.column(0))
-            stand = seg.own(fp.view(np.uint64))
-            asked, who = seg.looked_up(fp.view(np.uint64))
+            fp, n = unsigned(batch), batch.num_rows
+            stand = seg.own(fp)
+            asked, who = seg.looked_up(fp)
             key = np.concatenate([stand.ravel(), asked])
-            asks = np.arange(len(key)) >= stand.size
-            return pa.RecordBatch.from_arrays([pa.array(key), pa.array(asks), pa.array(np.concatenate([np.tile(fp, len(stand)), fp[who]]))], ["key", "asks", "fp"])
+            at = np.concatenate([np.tile(np.arange(n), len(stand)), who])
+            columns = [np.asarray(batch.column(c))[at] for c in ("node", *fps)]
+            return pa.RecordBatch.from_arrays([pa.array(key), pa.array(np.arange(len(key)) >= stand.size), *map(pa.array, columns)], ["key", "asks", "node", *fps])
 
         return each
 
-    all_rows = map_batches(nodes.select("fp"), rows, "key long, asks boolean, fp long")
-    hot = map_batches(nodes.select("fp"), own, "key long").groupBy("key").count().where(F.col("count") > block_rows)
+    codes = nodes.select("node", *fps)
+    all_rows = map_batches(codes, rows, "key long, asks boolean, node long, " + ", ".join(f"{f} long" for f in fps))
+    hot = map_batches(codes, own, "key long").groupBy("key").count().where(F.col("count") > block_rows)
     hot = materialize(hot.select("key", F.ceil(F.col("count") / block_rows).cast("int").alias("k")), "hot")
     n_hot = hot.count()
-    light = all_rows.select("key", F.lit(0).alias("lo"), F.lit(0).alias("hi"), F.lit(-1).alias("block"), "asks", "fp")
+    light = all_rows.select("key", F.lit(0).alias("lo"), F.lit(0).alias("hi"), F.lit(-1).alias("block"), "asks", "node", *fps)
     if n_hot:
         side = F.broadcast(hot) if n_hot <= 100_000 else hot
-        joined = all_rows.join(side, "key", "left").withColumn("b", F.pmod(F.xxhash64("fp"), F.coalesce("k", F.lit(1))).cast("int"))
+        joined = all_rows.join(side, "key", "left").withColumn("b", F.pmod(F.xxhash64("node"), F.coalesce("k", F.lit(1))).cast("int"))
         each = joined.select("*", F.explode(F.sequence(F.lit(0), F.coalesce("k", F.lit(1)) - 1)).alias("j"))
         lo, hi = F.when(F.col("asks"), F.col("j")).otherwise(F.least("b", "j")), F.when(F.col("asks"), F.col("j")).otherwise(F.greatest("b", "j"))
-        light = each.select("key", lo.alias("lo"), hi.alias("hi"), F.when(lo == hi, -1).otherwise(F.col("b")).alias("block"), "asks", "fp")
+        light = each.select("key", lo.alias("lo"), hi.alias("hi"), F.when(lo == hi, -1).otherwise(F.col("b")).alias("block"), "asks", "node", *fps)
     small_batches(nodes.sparkSession)
     spark = nodes.sparkSession
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "65536")
@@ -202,24 +222,29 @@ def links(nodes: DataFrame, max_bits: int, n_segments: int, block_rows: int) ->
     return found
 
 
-def simhash_components(docs: DataFrame, width: int = 5, max_bits: int = 4, n_segments: int = 3, block_rows: int = 8192) -> DataFrame:
-    """doc_id, fp, fingerprint, component_id of every row of ``docs``."""
-    each = materialize(fingerprints(docs, width), "fp")
-    nodes = materialize(each.groupBy("fp").agg(F.min("doc_id").alias("least")), "nodes")
-    roots = connected_components(links(nodes, max_bits, n_segments, block_rows))
-    rooted = materialize(nodes.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root")), "roots")
+def simhash_components(docs: DataFrame, width: int = 5, max_bits: int = 4, n_segments: int = 3, block_rows: int = 8192, n_words: int = 1) -> DataFrame:
+    """doc_id, fp0 (fp1 ...), fingerprint, component_id of every row of ``docs``."""
+    fps = names(n_words)
+    each = materialize(fingerprints(docs, width, n_words), "fp")
+    nodes = each.groupBy(*fps).agg(F.min("doc_id").alias("least"))
+    nodes = materialize(nodes.withColumn("node", F.col("fp0") if n_words == 1 else F.monotonically_increasing_id()), "nodes")
+    roots = connected_components(links(nodes, max_bits, n_segments, block_rows, n_words))
+    rooted = materialize(nodes.join(roots, "node", "left").select(*fps, "least", F.coalesce("root", "node").alias("root")), "roots")
     low = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = rooted.join(low, "root").select("fp", "component_id")
-    hexed = F.lower(F.lpad(F.hex("fp"), 16, "0"))
-    return each.join(named, "fp").select("doc_id", "fp", hexed.alias("fingerprint"), "component_id")
+    named = rooted.join(low, "root").select(*fps, "component_id")
+    hexed = F.concat(*(F.lower(F.lpad(F.hex(f), 16, "0")) for f in fps))
+    return each.join(named, fps).select("doc_id", *fps, hexed.alias("fingerprint"), "component_id")
 
 
 def drop_near_copies(docs: DataFrame, **how) -> DataFrame:
     """``docs`` with one document of each group, that of the smallest doc_id.
 
-    doc_id names a document: of rows that repeat one, one stays. A row without
-    doc_id can't be told from others by name; it stays.
+    By default codes have 128 bits of five-word shingles, of which 22 may differ:
+    a share of equal bits of 0.8 and more. doc_id names a document: of rows that
+    repeat one, one stays. A row without doc_id can't be told from others by
+    name; it stays.
     """
+    how = {"width": 5, "n_words": 2, "max_bits": 22, "n_segments": 6} | how
     first = simhash_components(docs, **how).where("doc_id = component_id").select("doc_id").distinct()
     nth = "_".join(["row", *docs.columns])  # a name that no column has
     row = F.row_number().over(Window.partitionBy("doc_id").orderBy("doc_id"))
