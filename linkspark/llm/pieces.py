@@ -258,17 +258,23 @@ class Pieces:
             out[k] = self.solve(words[k])
         return out
 
-    def encode(self, texts: list[str], n: int) -> Iterator[list[tuple[int, bytes]]]:
-        """Of each normalized text, (score, ids) of the n best segmentations."""
+    def encode(self, texts: list[str], n: int) -> Iterator[list[tuple[int, bytes, bool]]]:
+        """Of each normalized text the n best segmentations: score, ids, and whether
+        what differs from the best one decodes to the same words."""
         words = [self.words(t) for t in texts]
-        self.learn(set().union(*words))
-        for w in words:
-            yield self._chain(w, n)
-
-    def _chain(self, words: list[str], n: int) -> list[tuple[int, bytes]]:
-        solved = list(map(self.new.__getitem__, words))
-        ids, total = [s[0] for s in solved], sum([s[1] for s in solved])
-        gaps = np.array([s[2] for s in solved], np.int64)
+        solved = [list(map(self.new.get, w)) for w in words]
+        missing = {w for ws, found in zip(words, solved, strict=True) if None in found for w, f in zip(ws, found, strict=True) if f is None}
+        self.learn(missing)
+        for k, found in enumerate(solved):
+            if None in found:  # learned by now; what was found may have gone into the older generation
+                found = [f or self.new[w] for w, f in zip(words[k], found, strict=True)]
+            yield self._chain(words[k], found, n)
+
+    def _chain(self, words: list[str], solved: list[tuple[bytes, int, int]], n: int) -> list[tuple[int, bytes, bool]]:
+        if not words:
+            return [(0, b"", True)]
+        ids, scores, gaps = zip(*solved, strict=True)
+        total, gaps, joined = sum(scores), np.array(gaps, np.int64), b"".join(ids)
         open_ = np.flatnonzero(gaps >= 0)
         open_ = np.sort(open_[np.lexsort((open_, gaps[open_]))[: n - 1]]) if n > 1 else open_[:0]
         # a chain: node k lies before the k-th open word, edges are its choices
@@ -278,12 +284,15 @@ class Pieces:
         for paths in choices:
             best.append(best[-1] + paths[0][0])
         rest = total - best[-1]
+        starts = [sum(map(len, ids[:k])) for k in open_.tolist()]
         out = []
         for score, picked in backward(into, best, n):
-            now = list(ids)
-            for k, c, paths in zip(open_.tolist(), picked, choices, strict=True):
-                now[k] = array("I", paths[c][1]).tobytes()
-            out.append((rest + score, b"".join(now)))
+            parts, at, same = [], 0, True
+            for k, start, c, paths in zip(open_.tolist(), starts, picked, choices, strict=True):
+                parts += [joined[at:start], array("I", paths[c][1]).tobytes()]
+                at = start + len(ids[k])
+                same = same and (c == 0 or self.decode(np.array(paths[c][1])) == words[k].replace(BLANK, " ").encode())
+            out.append((rest + score, b"".join(parts) + joined[at:], same))
         return out
 
     def decode(self, ids: np.ndarray) -> bytes:
@@ -343,9 +352,11 @@ def encode_documents(docs: DataFrame, n: int = 3, model: str | None = None, scor
             texts = [pieces.model.normalize(t.decode("utf-8", "replace")) for t in to_bytes(batch.column(1))]
             for doc_id, normal, paths in zip(batch.column(0).to_pylist(), texts, pieces.encode(texts, n), strict=True):
                 shown = normal.replace(BLANK, " ").encode()
-                for k, (score, raw) in enumerate(paths):
+                whole = pieces.decode(np.frombuffer(paths[0][1], np.uint32)) == shown
+                for k, (score, raw, same) in enumerate(paths):
+                    # decoding joins pieces, so beside the best path only what differs is decoded
                     ids = np.frombuffer(raw, np.uint32)
-                    rows.append((doc_id, k + 1, score / UNIT, len(ids), zlib.crc32(ids.astype("<u4").tobytes()), pieces.decode(ids) == shown, *[ids.tolist()] * with_ids))
+                    rows.append((doc_id, k + 1, score / UNIT, len(ids), zlib.crc32(ids.astype("<u4").tobytes()), whole and same, *[ids.tolist()] * with_ids))
             return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names)
 
         return each

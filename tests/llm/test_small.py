@@ -68,8 +68,9 @@ def test_pieces_against_all_paths(vocabulary):
 
         best = sorted(every(len(t)), reverse=True)[:4]
         got = next(vocabulary.encode([t], 4))
-        assert [s for s, _ in got] == best and len({i for _, i in got}) == len(got)
-        assert all(vocabulary.decode(np.frombuffer(i, np.uint32)) == t.replace("▁", " ").encode() for _, i in got)
+        assert [s for s, _, _ in got] == best and len({i for _, i, _ in got}) == len(got)
+        assert all(vocabulary.decode(np.frombuffer(i, np.uint32)) == t.replace("▁", " ").encode() for _, i, same in got if same)
+        assert all(same for _, _, same in got)
 
 
 def test_pieces_solved_together_as_alone(vocabulary):
