@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -14,6 +16,8 @@ from pyspark.sql import functions as F
 #: Rows and bytes of an Arrow batch: documents are long, workers are small.
 BATCH_ROWS, BATCH_BYTES = 512, 4 << 20
 
+PACKAGE_ROOT = str(Path(__file__).resolve().parents[2])
+
 #: The ASCII white space that ends a word (a fixed value of the word rule).
 SPACES = b" \t\n\x0b\x0c\r"
 
@@ -23,7 +27,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def small_batches(spark: SparkSession) -> None:
-    """Bound what one Arrow batch holds; both settings belong to the session."""
+    """Bound what one Arrow batch holds; both settings belong to the session.
+
+    Also lets Python workers find this package where they share the driver's disk,
+    from whatever folder the driver was started; on a cluster it is shipped with
+    --py-files or installed.
+    """
+    paths = spark.sparkContext.environment.get("PYTHONPATH", "").split(os.pathsep)
+    if PACKAGE_ROOT not in paths:
+        spark.sparkContext.environment["PYTHONPATH"] = os.pathsep.join([PACKAGE_ROOT, *filter(None, paths)])
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
