@@ -27,7 +27,7 @@ from .learning import labelled_sample
 BUCKETS = 1 << 16
 NGRAMS = (3, 4)
 THRESHOLD = 0.3
-MEMORY = 400_000  # words a task remembers from one batch to the next
+MEMORY = 250_000  # words a task remembers from one batch to the next
 AGAIN, AGAIN_TIMES = 0, 8  # the bucket of "same word as before"; it counts as often as a word has features
 
 

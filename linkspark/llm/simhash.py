@@ -215,7 +215,7 @@ def links(nodes: DataFrame, max_bits: int, n_segments: int, block_rows: int, n_w
         light = each.select("key", lo.alias("lo"), hi.alias("hi"), F.when(lo == hi, -1).otherwise(F.col("b")).alias("block"), "asks", "node", *fps)
     small_batches(nodes.sparkSession)
     spark = nodes.sparkSession
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "65536")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "16384")
     dealt = light.repartition("key", "lo", "hi").sortWithinPartitions("key", "lo", "hi", "asks")
     found = materialize(dealt.mapInArrow(_edges(max_bits), "u long, v long"), "links")
     small_batches(spark)
