@@ -30,6 +30,7 @@ from .common import connected_components, map_batches, materialize, small_batche
 
 SEED = 42  # of XXH64
 CHUNK = 1 << 16  # shingles hashed at once
+COLUMNS = 4096  # shingles counted at once where sets are compared
 MIX = np.uint64(0xD6E8FEB86659FD93)
 
 
@@ -236,17 +237,118 @@ def simhash_components(docs: DataFrame, width: int = 5, max_bits: int = 4, n_seg
     return each.join(named, fps).select("doc_id", *fps, hexed.alias("fingerprint"), "component_id")
 
 
-def drop_near_copies(docs: DataFrame, **how) -> DataFrame:
+def shingle_sets(members: DataFrame, width: int) -> DataFrame:
+    """component_id, doc_id, digest and hashes (bytes, sorted) of each row's set of shingles."""
+    columns = ["component_id", "doc_id", "digest", "hashes"]
+
+    def make():
+        def each(batch: pa.RecordBatch) -> pa.RecordBatch:
+            digest = xxhash.xxh64_intdigest
+            sets = [np.unique(np.array([digest(s, SEED) for s in shingles(x, width)], np.uint64)).tobytes() for x in to_bytes(batch.column(2))]
+            digests = pa.array([xxhash.xxh128_digest(s) for s in sets], pa.binary())
+            return pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), digests, pa.array(sets, pa.binary())], columns)
+
+        return each
+
+    return map_batches(members.select("component_id", "doc_id", "text"), make, "component_id long, doc_id long, digest binary, hashes binary")
+
+
+def similar(left: list[np.ndarray], right: list[np.ndarray], least: float) -> tuple[np.ndarray, np.ndarray]:
+    """Positions of all pairs of a left and a right set with that Jaccard similarity."""
+    sizes = [np.array([len(x) for x in side], np.int64) for side in (left, right)]
+    _, at, many = np.unique(np.concatenate([*left, *right]), return_inverse=True, return_counts=True)
+    column = np.where(many > 1, np.cumsum(many > 1) - 1, -1)[at]  # what is in one set only isn't shared
+    row = np.repeat(np.arange(len(left) + len(right)), np.concatenate(sizes))
+    row, column = row[column >= 0], column[column >= 0]
+    order = np.argsort(column, kind="stable")
+    row, column = row[order], column[order]
+    shared = np.zeros((len(left), len(right)))
+    for low in range(0, int(column.max(initial=-1)) + 1, COLUMNS):
+        a, b = np.searchsorted(column, [low, low + COLUMNS])
+        has = np.zeros((len(left) + len(right), COLUMNS), np.float32)
+        has[row[a:b], column[a:b] - low] = 1
+        shared += has[: len(left)] @ has[len(left) :].T
+    union = sizes[0][:, None] + sizes[1][None, :] - shared
+    return np.nonzero(shared >= least * union - 1e-9)
+
+
+def _verified(least: float):
+    """Edges of the verified pairs in each cell of one block of a component, or of two."""
+
+    def cell(rows: list[pa.RecordBatch]) -> tuple[np.ndarray, np.ndarray]:
+        t = pa.Table.from_batches(rows).combine_chunks()
+        own, node = np.asarray(t.column("own").combine_chunks()), np.asarray(t.column("node").combine_chunks())
+        sets = [np.frombuffer(x, np.uint64) for x in t.column("hashes").to_pylist()]
+        lo, hi = t.column("lo")[0].as_py(), t.column("hi")[0].as_py()
+        a, b = np.flatnonzero(own == lo), np.flatnonzero(own == hi)
+        if not len(a) or not len(b):
+            return node[:0], node[:0]
+        i, j = similar([sets[k] for k in a], [sets[k] for k in b], least)
+        u, v = node[a[i]], node[b[j]]
+        return star_edges(u[u != v], v[u != v])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        last = None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            keys = np.stack([np.asarray(batch.column(k)) for k in range(3)], axis=1)
+            cuts = [0, *(np.flatnonzero((keys[1:] != keys[:-1]).any(axis=1)) + 1).tolist(), len(keys)]
+            done = []
+            for a, b in zip(cuts, cuts[1:], strict=False):
+                now = tuple(keys[a].tolist())
+                if held and now != last:
+                    done.append(cell(held))
+                    held = []
+                held.append(batch.slice(a, b - a))
+                last = now
+            if done:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([x[k] for x in done])) for k in (0, 1)], ["u", "v"])
+        if held:
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in cell(held)], ["u", "v"])
+
+    return run
+
+
+def verified_links(nodes: DataFrame, least: float, block: int, block_bytes: int) -> DataFrame:
+    """Edges (u, v) for a path between each pair of a component's nodes whose sets
+    have that Jaccard similarity. Every pair of a component is compared."""
+    size = nodes.groupBy("component_id").agg(F.count("*").alias("n"), F.sum(F.length("hashes")).alias("bytes")).where("n > 1")
+    k = F.ceil(F.greatest(F.col("n") / block, F.col("bytes") / block_bytes)).cast("int")
+    k = F.greatest(k, F.lit(1))
+    joined = nodes.join(size.select("component_id", k.alias("k")), "component_id").withColumn("own", F.pmod(F.xxhash64("node"), F.col("k")).cast("int"))
+    each = joined.select("*", F.explode(F.sequence(F.lit(0), F.col("k") - 1)).alias("j"))
+    cells = each.select("component_id", F.least("own", "j").alias("lo"), F.greatest("own", "j").alias("hi"), "own", "node", "hashes")
+    small_batches(nodes.sparkSession)
+    dealt = cells.repartition("component_id", "lo", "hi").sortWithinPartitions("component_id", "lo", "hi")
+    return materialize(dealt.mapInArrow(_verified(least), "u long, v long"), "verified")
+
+
+def drop_near_copies(docs: DataFrame, least: float = 0.8, block: int = 512, block_bytes: int = 8 << 20, **how) -> DataFrame:
     """``docs`` with one document of each group, that of the smallest doc_id.
 
-    By default codes have 128 bits of five-word shingles, of which 22 may differ:
-    a share of equal bits of 0.8 and more. doc_id names a document: of rows that
-    repeat one, one stays. A row without doc_id can't be told from others by
-    name; it stays.
+    Documents are linked if their sets of shingles have a Jaccard similarity of
+    ``least``. Codes only find who is compared: all different sets of a component
+    of codes are, in blocks, exactly. By default codes have 128 bits of five-word
+    shingles, of which 22 may differ. doc_id names a document: of rows that repeat
+    one, one stays. A row without doc_id can't be told from others by name; it
+    stays.
     """
     how = {"width": 5, "n_words": 2, "max_bits": 22, "n_segments": 6} | how
-    first = simhash_components(docs, **how).where("doc_id = component_id").select("doc_id").distinct()
+    coded = materialize(simhash_components(docs, **how).where("doc_id is not null").select("doc_id", "component_id").distinct(), "coded")
+    groups = coded.groupBy("component_id").count().where("count > 1").select("component_id")
+    members = coded.join(groups, "component_id")
+    texts = docs.select(docs["doc_id"].cast("long").alias("doc_id"), "text").join(members, "doc_id")
+    sets = materialize(shingle_sets(texts, how["width"]), "sets")
+    nodes = sets.groupBy("component_id", "digest").agg(F.first("hashes").alias("hashes"), F.min("doc_id").alias("first"))
+    nodes = materialize(nodes.withColumn("node", F.monotonically_increasing_id()), "nodes")
+    roots = materialize(connected_components(verified_links(nodes, least, block, block_bytes)), "roots")
+    rooted = nodes.select("component_id", "digest", "node", "first").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    low = rooted.groupBy("root").agg(F.min("first").alias("low"))
+    named = sets.select("component_id", "digest", "doc_id").join(rooted.join(low, "root").select("component_id", "digest", "low"), ["component_id", "digest"])
+    copies = named.groupBy("doc_id").agg(F.max((F.col("doc_id") == F.col("low")).cast("int")).alias("stays")).where("stays = 0").select("doc_id")
     nth = "_".join(["row", *docs.columns])  # a name that no column has
     row = F.row_number().over(Window.partitionBy("doc_id").orderBy("doc_id"))
-    kept = docs.join(first, "doc_id", "left_semi").withColumn(nth, row).where(F.col(nth) == 1)
+    kept = docs.where("doc_id is not null").join(copies, "doc_id", "left_anti").withColumn(nth, row).where(F.col(nth) == 1)
     return kept.select(*docs.columns).unionByName(docs.where("doc_id is null"))

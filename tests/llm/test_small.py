@@ -181,6 +181,46 @@ def test_near_copies_of_wide_codes(spark):
     assert set(range(120)) <= kept and len(kept) <= 120 + 6
 
 
+def jaccard(a, b, width=5):
+    a, b = (set(simhash.shingles(x.encode(), width)) for x in (a, b))
+    return len(a & b) / len(a | b)
+
+
+def edited(r, text, n):
+    """Words at even distances replaced, so that ``n`` edits cost 5 shingles each."""
+    w = text.split()
+    for k in range(n):
+        w[10 + k * (len(w) - 20) // n] = f"edit{r.getrandbits(40)}"
+    return " ".join(w)
+
+
+def test_near_copies_are_verified(spark):
+    r = random.Random(21)
+    base = [words(r, 300) for _ in range(150)]
+    near = [edited(r, b, 10) for b in base]  # each pair of one base: about 0.71
+    assert all(0.68 < jaccard(a, b) < 0.75 for a, b in zip(base, near, strict=True))
+    assert simhash.drop_near_copies(frame(spark, base + near)).count() == 300
+
+
+def test_similar_sets_in_blocks(spark):
+    r = random.Random(22)
+    rows = [set(r.sample(range(40), r.randint(0, 12))) for _ in range(60)]
+    rows += [x ^ {r.randrange(40)} for x in rows]
+    rows = list({frozenset(x) for x in rows})
+    sets = [np.array(sorted(x), np.uint64) for x in rows]
+    want = {k: k for k in range(len(rows))}
+    for i, a in enumerate(rows):
+        for j, b in enumerate(rows[:i]):
+            if len(a & b) >= 0.8 * len(a | b):
+                x, y = want[i], want[j]
+                want = {k: min(x, y) if v in (x, y) else v for k, v in want.items()}
+    assert len(set(want.values())) < len(rows)
+    nodes = spark.createDataFrame([(7, k, bytearray(x.tobytes())) for k, x in enumerate(sets)], "component_id long, node long, hashes binary")
+    for block, size in ((512, 1 << 20), (16, 1 << 20), (512, 400)):
+        got = {g.node: g.root for g in connected_components(simhash.verified_links(nodes, 0.8, block, size)).collect()}
+        assert {k: got.get(k, k) for k in want} == want
+
+
 # --- 4 ---
 
 
