@@ -9,7 +9,8 @@ bounded sample. As the mean is linear, scoring keeps for each feature the
 difference of its two logits: the same sum, in another order.
 
 Null and empty texts have no features; they get score 0 (nothing to keep), as do
-all documents where labels of both classes are lacking.
+all documents where labels of both classes are lacking; the filter ``keep_good``
+then has nothing to tell documents apart by, and keeps all.
 """
 
 from __future__ import annotations
@@ -171,8 +172,12 @@ def quality_classifier(docs: DataFrame, labels: DataFrame, modulus: int = 5, hel
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, modulus: int = 5, held: int = 0, **how) -> DataFrame:
-    """The rows of ``docs``, all columns as they are, that reach the threshold."""
-    make_score = _scorer(train(docs, labels, modulus, held, **how))
+    """The rows of ``docs``, all columns as they are, that reach the threshold;
+    all rows where labels of both classes are lacking."""
+    model = train(docs, labels, modulus, held, **how)
+    if model is None:
+        return docs
+    make_score = _scorer(model)
     text = docs.columns.index("text")
 
     def make():

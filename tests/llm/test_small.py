@@ -315,6 +315,14 @@ def test_filters_keep_rows_as_they_are(spark):
     assert set(clean.collect()) <= set(docs.collect()) and 450 <= clean.count() <= 520
 
 
+def test_quality_filter_without_a_model_keeps_all(spark):
+    docs, labels = labelled(spark, 40)
+    for quality in ("1", "0", "cast(null as int)"):
+        one = labels.withColumn("quality", F.expr(quality))
+        assert quality_classifier.keep_good(docs, one).count() == docs.count()
+        assert {x.score for x in quality_classifier.quality_classifier(docs, one).collect()} == {0.0}
+
+
 def test_languages(spark):
     r = random.Random(9)
     alphabets = {"aa": "abcdeé", "bb": "abxyzß", "cc": "mnopqñ"}
