@@ -202,6 +202,15 @@ def test_near_copies_are_verified(spark):
     assert simhash.drop_near_copies(frame(spark, base + near)).count() == 300
 
 
+def test_near_copies_just_above_the_bar(spark):
+    r = random.Random(23)
+    base = [words(r, 300) for _ in range(150)]
+    near = [edited(r, b, 6) for b in base]
+    assert all(0.8 <= jaccard(a, b) < 0.84 for a, b in zip(base, near, strict=True))
+    kept = {k.doc_id for k in simhash.drop_near_copies(frame(spark, base + near)).collect()}
+    assert set(range(150)) <= kept and len(kept) <= 150 + 3
+
+
 def test_similar_sets_in_blocks(spark):
     r = random.Random(22)
     rows = [set(r.sample(range(40), r.randint(0, 12))) for _ in range(60)]
