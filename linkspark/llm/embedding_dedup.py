@@ -1,7 +1,7 @@
 """Operator 5, embedding near-duplicates by sorted projection passes.
 
-Vectors of one label are ordered by the signs of their projections on random
-directions, concatenated to a key; each is compared with those within a window
+Vectors of one label, less the label's mean, are ordered by the signs of their
+projections on random directions, concatenated to a key; each is compared with those within a window
 after it. Every pass has its own directions, so what one pass puts far apart
 another brings together; verified pairs of all passes are united. Vectors in
 dense places have more partners than a window holds: in a second step all
@@ -30,7 +30,8 @@ from pyspark.sql import types as T
 
 from .common import connected_components, materialize, small_batches, star_edges
 
-KEY_BITS = 31
+KEY_BITS = 62
+MEANS_BYTES = 16 << 20  # of the means that come to the driver, those of the largest labels
 
 
 def _matrix(column: pa.Array, dim: int, single: bool) -> np.ndarray:
@@ -76,7 +77,35 @@ def classes(embeddings: DataFrame) -> tuple[DataFrame, DataFrame, bool]:
     return every.select("vec_id", "class"), nodes, single
 
 
-def _keys(passes: list[int], single: bool, seed: int):
+def label_means(nodes: DataFrame, single: bool, window: int) -> dict[tuple[str, int], np.ndarray]:
+    """The mean unit vector of each (label, dim) that a window doesn't hold whole."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            label, dim, vec = batch.columns
+            groups: dict[tuple[str, int], list[int]] = {}
+            for k, g in enumerate(zip(label.to_pylist(), dim.to_pylist(), strict=True)):
+                groups.setdefault(g, []).append(k)
+            sums = [unit(_matrix(vec.take(pa.array(at)), g[1], single)).sum(axis=0).tolist() for g, at in groups.items()]
+            yield pa.RecordBatch.from_arrays([pa.array([g[0] for g in groups], pa.string()), pa.array([g[1] for g in groups], pa.int32()), pa.array(sums, pa.list_(pa.float64()))], ["label", "dim", "sums"])
+
+    size = nodes.groupBy("label", "dim").count().where(F.col("count") > window)
+    order = [F.desc("count"), "label", "dim"]
+    widest = nodes.agg(F.max("dim")).first()[0] or 1
+    large = {(r.label, r.dim): r["count"] for r in size.orderBy(*order).limit(max(1, MEANS_BYTES // (8 * widest))).collect()}
+    if not large:
+        return {}
+    small_batches(nodes.sparkSession)
+    picked = nodes.join(F.broadcast(nodes.sparkSession.createDataFrame(list(large), "label string, dim int")), ["label", "dim"], "left_semi")
+    parts = picked.select("label", "dim", "vec").mapInArrow(run, "label string, dim int, sums array<double>")
+    at = parts.select("label", "dim", F.posexplode("sums").alias("k", "x")).groupBy("label", "dim", "k").agg(F.sum("x").alias("x"))
+    means = {g: np.zeros(g[1]) for g in large}
+    for r in at.toLocalIterator():
+        means[r.label, r.dim][r.k] = r.x / large[r.label, r.dim]
+    return means
+
+
+def _keys(passes: list[int], single: bool, seed: int, means: dict[tuple[str, int], np.ndarray]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         directions: dict[tuple[int, int], np.ndarray] = {}
         for batch in batches:
@@ -85,7 +114,10 @@ def _keys(passes: list[int], single: bool, seed: int):
             for d in np.unique(dims).tolist():
                 rows = np.flatnonzero(dims == d)
                 at = pa.array(rows)
-                x = _matrix(vec.take(at), d, single)
+                x = unit(_matrix(vec.take(at), d, single))
+                names = label.take(at).to_pylist()
+                for name in {n for n in names if (n, d) in means}:
+                    x[[n == name for n in names]] -= means[name, d]
                 for p in passes:
                     if (p, d) not in directions:
                         directions[p, d] = np.random.default_rng((seed, p, d)).normal(size=(d, KEY_BITS))
@@ -130,8 +162,9 @@ def window_edges(nodes: DataFrame, single: bool, least: float, window: int, pass
     """Edges of all passes. So many passes as one job sorts at once bound the disk."""
     found = None
     side = nodes.select("node", "label", "dim", "vec")
+    means = label_means(nodes, single, window)
     for at in range(0, passes, passes_at_once):
-        keyed = side.mapInArrow(_keys(list(range(at, min(at + passes_at_once, passes))), single, seed), "pass int, label string, dim int, key long, node long, vec binary")
+        keyed = side.mapInArrow(_keys(list(range(at, min(at + passes_at_once, passes))), single, seed, means), "pass int, label string, dim int, key long, node long, vec binary")
         order = ["pass", "label", "dim", "key", "node"]
         part = materialize(keyed.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(_windows(window, least, single), "u long, v long"), "links")
         found = part if found is None else found.unionByName(part)
@@ -191,7 +224,7 @@ def count_links(nodes: DataFrame, roots: DataFrame, single: bool, least: float,
     return dealt.mapInArrow(_count(least, single, block), "node long, links long").groupBy("node").agg(F.sum("links").alias("links"))
 
 
-def embedding_components(embeddings: DataFrame, least: float = 0.98, window: int = 48, passes: int = 12, passes_at_once: int = 4, block: int = 1024, seed: int = 5) -> DataFrame:
+def embedding_components(embeddings: DataFrame, least: float = 0.98, window: int = 48, passes: int = 48, passes_at_once: int = 4, block: int = 1024, seed: int = 5) -> DataFrame:
     """vec_id, n_links, component_id and kept of every row of ``embeddings``."""
     rows, nodes, single = classes(embeddings)
     roots = materialize(connected_components(window_edges(nodes, single, least, window, passes, passes_at_once, seed)), "roots")

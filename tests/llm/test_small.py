@@ -290,6 +290,26 @@ def test_embeddings(spark):
     assert embedding_dedup.embedding_components(df.where("false")).count() == 0
 
 
+def test_embeddings_of_a_common_direction(spark):
+    rng = np.random.default_rng(3)
+    n, pairs, dim = 12_000, 300, 64
+    mean = rng.normal(size=dim)
+    mean /= np.linalg.norm(mean)
+
+    def away(count):
+        v = rng.normal(size=(count, dim))
+        v -= np.outer(v @ mean, mean)
+        return v / np.linalg.norm(v, axis=1)[:, None]
+
+    own = away(n)
+    near = own[:pairs] + away(pairs) * 0.6
+    near /= np.linalg.norm(near, axis=1)[:, None]
+    x = 0.9**0.5 * mean + 0.1**0.5 * np.concatenate([own, near])  # cosine of any two: about 0.9
+    df = spark.createDataFrame([(k, [float(c) for c in v], 0) for k, v in enumerate(x)], "vec_id long, embedding array<float>, label int")
+    got = {g.vec_id: g.component_id for g in embedding_dedup.embedding_components(df).collect()}
+    assert sum(got[n + k] == k for k in range(pairs)) >= 0.99 * pairs
+
+
 # --- 6, 9, 10 ---
 
 
