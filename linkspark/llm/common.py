@@ -6,6 +6,7 @@ import os
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from itertools import repeat
 from pathlib import Path
 
 import numpy as np
@@ -14,7 +15,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Rows and bytes of an Arrow batch: documents are long, workers are small.
-BATCH_ROWS, BATCH_BYTES = 512, 4 << 20
+BATCH_ROWS, BATCH_BYTES = 2048, 4 << 20
+
+#: Rows of a few short columns that may be broadcast (about 50 MB).
+BROADCAST_ROWS = 300_000
 
 PACKAGE_ROOT = str(Path(__file__).resolve().parents[2])
 
@@ -27,17 +31,19 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def small_batches(spark: SparkSession) -> None:
-    """Bound what one Arrow batch holds; both settings belong to the session.
+    """Bound what one Arrow batch holds.
 
-    Also lets Python workers find this package where they share the driver's disk,
-    from whatever folder the driver was started; on a cluster it is shipped with
-    --py-files or installed.
+    The setting belongs to the session and stays lowered, as a lazy plan runs with
+    what is set then; it changes no result. A lower one is left as it is. Also lets
+    Python workers find this package where they share the driver's disk, from whatever
+    folder the driver was started; on a cluster it is shipped with --py-files or installed.
     """
     paths = spark.sparkContext.environment.get("PYTHONPATH", "").split(os.pathsep)
     if PACKAGE_ROOT not in paths:
         spark.sparkContext.environment["PYTHONPATH"] = os.pathsep.join([PACKAGE_ROOT, *filter(None, paths)])
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark._jsparkSession.sessionState().conf().arrowMaxBytesPerBatch() > BATCH_BYTES:
+        spark.conf.set(name, str(BATCH_BYTES))
 
 
 def work_dir(spark: SparkSession) -> str:
@@ -70,21 +76,42 @@ def materialize(df: DataFrame, kind: str = "table") -> DataFrame:
     return out
 
 
-def discard(df: DataFrame) -> None:
-    """Delete the files of a materialized table that no later plan reads."""
-    spark = df.sparkSession
-    path = spark._jvm.org.apache.hadoop.fs.Path(df._shared_path)
+def delete(spark: SparkSession, path: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(path)
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def map_batches(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], pa.RecordBatch]], schema: str) -> DataFrame:
-    """``mapInArrow`` of one function per batch; ``make`` builds it once a task."""
+def discard(*tables: DataFrame) -> None:
+    """Delete the files of materialized tables that no later plan reads."""
+    for df in tables:
+        delete(df.sparkSession, df._shared_path)
+
+
+def few(keys: DataFrame, n: int | None = None) -> DataFrame:
+    """Slim rows of a join, to be broadcast if they are counted to be few."""
+    n = keys.count() if n is None else n
+    return F.broadcast(keys) if n <= BROADCAST_ROWS else keys
+
+
+def parts(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """A batch in slices of bounded rows and bytes, whatever the session's settings are."""
+    step = max(1, min(BATCH_ROWS, batch.num_rows * BATCH_BYTES // max(batch.nbytes, 1)))
+    for at in range(0, batch.num_rows, step):
+        yield batch.slice(at, step)
+
+
+def map_batches(df: DataFrame, make: Callable[[], Callable], schema: str, whole: bool = False) -> DataFrame:
+    """``mapInArrow`` of one function per slice of a batch, or (``whole``) of one that
+    goes through all batches of a task; ``make`` builds it once a task."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         each = make()
+        if whole:
+            yield from each(batches)
+            return
         for batch in batches:
-            if batch.num_rows:
-                yield each(batch)
+            for part in parts(batch):
+                yield each(part)
 
     small_batches(df.sparkSession)
     return df.mapInArrow(run, schema)
@@ -95,6 +122,77 @@ def to_bytes(column: pa.Array) -> list[bytes]:
     return [x or b"" for x in column.cast(pa.binary()).to_pylist()]
 
 
+class IdStore:
+    """Ids of words in flat arrays, and other numbers of theirs by name.
+
+    A word is known by its slot. Where words take more than ``limit`` bytes, the
+    least used are forgotten between two batches, down to half of it: a bound on
+    a worker's memory whatever the words are.
+    """
+
+    ENTRY = 160  # bytes of a word besides its letters and ids
+
+    def __init__(self, limit: int = 64 << 20, **columns):
+        self.limit, self.kinds = limit, {"start": np.int64, "size": np.int32, "uses": np.int32} | columns
+        self.clear()
+
+    def clear(self) -> None:
+        self.slots, self.bytes, self.filled = {}, 0, 0
+        self.flat = np.empty(1 << 12, np.uint32)
+        self.columns = {k: np.zeros(1 << 10, t) for k, t in self.kinds.items()}
+
+    def trim(self) -> None:
+        """Slots that were given out before are void after this."""
+        if self.bytes <= self.limit:
+            return
+        words, columns = list(self.slots), self.columns
+        cost = self.ENTRY + 4 * columns["size"][: len(words)].astype(np.int64) + np.fromiter(map(len, words), np.int64, len(words))
+        order = np.argsort(-columns["uses"][: len(words)], kind="stable")
+        kept = order[: np.searchsorted(np.cumsum(cost[order]), self.limit // 2)]
+        ids, size = self.gather(kept)
+        self.clear()
+        slots = self.of([words[k] for k in kept.tolist()])[0]
+        self.put(slots, size, ids, **{k: columns[k][kept] for k in columns if k not in ("start", "size", "uses")})
+        self.columns["uses"][slots] = columns["uses"][kept] // 2
+
+    def of(self, words: list) -> tuple[np.ndarray, list]:
+        """The slots of distinct words, and those of them that are new: without ids until ``put``."""
+        got = np.fromiter(map(self.slots.get, words, repeat(-1)), np.int32, len(words))
+        fresh = np.flatnonzero(got < 0)
+        new = [words[k] for k in fresh.tolist()]
+        if new:
+            n = len(self.slots)
+            got[fresh] = np.arange(n, n + len(new))
+            self.slots.update(zip(new, range(n, n + len(new)), strict=True))
+            self.bytes += self.ENTRY * len(new) + sum(map(len, new))
+            for k, a in self.columns.items():
+                if len(a) < len(self.slots):
+                    self.columns[k] = np.concatenate([a, np.zeros(2 * len(self.slots) - len(a), a.dtype)])
+        return got, new
+
+    def used(self, slots: np.ndarray, times: np.ndarray) -> None:
+        self.columns["uses"][slots] += times.astype(np.int32)
+
+    def put(self, slots: np.ndarray, size: np.ndarray, flat: np.ndarray, **values: np.ndarray) -> None:
+        stop = self.filled + len(flat)
+        if stop > len(self.flat):
+            self.flat = np.concatenate([self.flat, np.empty(2 * stop - len(self.flat), np.uint32)])
+        self.flat[self.filled : stop] = flat
+        values |= {"start": self.filled + np.cumsum(size) - size, "size": size}
+        for k, v in values.items():
+            self.columns[k][slots] = v
+        self.bytes += 4 * len(flat)
+        self.filled = stop
+
+    def gather(self, slots: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of slots one after another, and how many each has."""
+        size = self.columns["size"][slots]
+        stop = np.cumsum(size, dtype=np.int64)
+        at = np.repeat(self.columns["start"][slots] - stop + size, size)
+        at += np.arange(len(at))
+        return self.flat[at], size
+
+
 def labels_of(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Components of a local edge list: its nodes and each one's smallest node."""
     nodes, at = np.unique(np.concatenate([a, b]), return_inverse=True)
