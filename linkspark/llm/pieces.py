@@ -6,11 +6,16 @@ each node from the beginning; a backward A* search from the end takes it as its
 heuristic. It is exact, so paths leave the agenda in order of their score and
 the first n are the n best.
 
-No piece crosses from another character to the blank mark, nor holds a line
-break (checked when a model is loaded), so a lattice is a chain of small ones,
-one a word. Words are solved once and remembered. Of a text's n best paths each
-differs from the best in at most the n - 1 words whose second choice costs least;
-the same backward search runs over the chain of these.
+No piece crosses from another character to the blank mark, nor holds a line break
+(checked when a model is loaded), so a lattice is a chain of small ones, one a word. Of a text's n best
+paths each differs from the best in at most the n - 1 words whose second choice
+costs least. So words are first solved together, once each, by forward and
+backward Viterbi passes, which give a word's best ids and what its second choice
+costs; the A* search then runs where paths can differ: over the lattices of these
+n - 1 words for their n best, and over the chain of their choices for the text's.
+All other words keep the ids of their Viterbi pass, which are those that the
+search would give (words that hold spelled characters or are long are solved by
+the search alone).
 
 The vocabularies at hand are merge-ordered (BPE): their numbers are ranks, no log
 probabilities. A piece of rank r scores -ln(r + 1), less the logarithm of the sum
@@ -20,8 +25,9 @@ by the search's order, which prefers the fewer open characters, then the piece
 with the smaller start. A character that no piece holds is written as its bytes,
 each a little less likely than the last piece.
 
-Null and empty texts have one path without pieces. Repeated rows get equal
-results; other columns are ignored.
+Null and empty texts have one path without pieces. Long texts are encoded whole.
+Repeated rows get equal results; other columns are ignored, whatever their names.
+An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -31,22 +37,24 @@ import heapq
 import math
 import re
 import zlib
-from array import array
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
-from .common import map_batches, to_bytes
+from .common import IdStore, map_batches, to_bytes
 
 BLANK = "▁"
 UNIT = 1_000_000  # scores are whole millionths
 NONE = -(1 << 61)  # below any score
 SHORT = 48  # characters of words that are solved together
 MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
-MEMORY = 250_000  # words that a worker remembers, twice
+CELLS = 1 << 16  # characters of words that are solved together: what a processor's cache holds
+CHOICES = 20_000  # words whose n best paths are remembered
+SEPARATORS = [chr(k) for k in (*range(1, 9), *range(14, 32))]
 
 Edge = tuple[int, tuple[int, ...], int]  # start, ids, score
 
@@ -72,11 +80,6 @@ def string_hash(text: str) -> int:
     return h
 
 
-def runs(sorted_values: np.ndarray) -> list[tuple[int, int]]:
-    cuts = [0, *(np.flatnonzero(sorted_values[1:] != sorted_values[:-1]) + 1).tolist(), len(sorted_values)]
-    return list(zip(cuts, cuts[1:], strict=False)) if len(sorted_values) else []
-
-
 class Pieces:
     """A vocabulary with scores; solves, encodes and decodes."""
 
@@ -103,8 +106,11 @@ class Pieces:
         self.bytes = [b"" if i in special else t.replace(BLANK, " ").encode() for i, t in enumerate(text)]
         for b, i in self.byte_id.items():
             self.bytes[i] = bytes([b])
-        apart = not any(re.search(f"[^{BLANK}]{BLANK}|\n", t) for t in self.pieces) and "\n" not in self.pieces
-        self.words = re.compile(f"{BLANK}*[^{BLANK}\n]+|{BLANK}+|\n" if apart else r"[\s\S]+").findall
+        self.apart = not any(re.search(f"[^{BLANK}]{BLANK}|\n", t) for t in self.pieces)
+        self.longest = max(map(len, self.pieces), default=1)
+        raw = np.frombuffer(b"".join(self.bytes), np.uint8)
+        self.raw, self.raw_size = raw, np.fromiter(map(len, self.bytes), np.int64, n)
+        self.raw_start = np.cumsum(self.raw_size) - self.raw_size
         names = list(self.known)
         keys = np.array([string_hash(t) for t in names], np.uint64)
         order = np.argsort(keys)
@@ -115,13 +121,28 @@ class Pieces:
             raise ValueError("two pieces have one hash")
         self.piece_at = np.array([self.known[names[k]][0][0] if self.known[names[k]] else -1 for k in order] + [-1])
         self.score_at = np.array([self.known[names[k]][1] if self.known[names[k]] else 0 for k in order] + [0], np.int64)
-        self.new: dict[str, tuple[bytes, int, int]] = {}
-        self.old: dict[str, tuple[bytes, int, int]] = {}
+        self.store = IdStore(score=np.int64, gap=np.int64, same=bool)
+        self.choices: dict[tuple[str, int], list[tuple[int, np.ndarray, bool]]] = {}
+
+    def edges(self, text: str) -> Callable[[int], list[Edge]]:
+        """For a node the edges that end there, by their start."""
+        get, longest = self.pieces.get, self.longest
+
+        def into(end: int) -> list[Edge]:
+            out = []
+            for start in range(max(0, end - longest), end):
+                found = get(text[start:end])
+                if found:
+                    out.append((start, *found))
+                elif start == end - 1:
+                    out.append((start, *self.spelled(text[start])))
+            return out
+
+        return into
 
-    def lattice(self, text: str) -> tuple[list[list[Edge]], list[int]]:
-        """For each node the edges that end there, and the best score up to it."""
+    def forward(self, text: str) -> list[int]:
+        """The best score up to each node."""
         get, n = self.known.get, len(text)
-        into: list[list[Edge]] = [[] for _ in range(n + 1)]
         best = [0] + [NONE] * n
         for start in range(n):
             here, end = best[start], start
@@ -129,19 +150,18 @@ class Pieces:
                 end += 1
                 found = get(text[start:end])
                 if found:
-                    ids, score = found
+                    score = here + found[1]
                 elif end == start + 1:
-                    ids, score = self.spelled(text[start])
+                    score = here + self.spelled(text[start])[1]
                 elif found is None:
                     break
                 else:
                     continue
-                into[end].append((start, ids, score))
-                if here + score > best[end]:
-                    best[end] = here + score
+                if score > best[end]:
+                    best[end] = score
                 if found is None:
                     break
-        return into, best
+        return best
 
     def spelled(self, character: str) -> tuple[tuple[int, ...], int]:
         """A character that is no piece: its bytes."""
@@ -151,27 +171,60 @@ class Pieces:
 
     def n_best(self, text: str, n: int) -> list[tuple[int, tuple[int, ...]]]:
         """(score, ids) of the n best paths, or of all if they are fewer."""
-        return backward(*self.lattice(text), n)
-
-    def solve(self, word: str) -> tuple[bytes, int, int]:
-        """Of one word: the best ids, their score, and what the second choice costs."""
-        paths = self.n_best(word, 2)
-        return array("I", paths[0][1]).tobytes(), paths[0][0], paths[0][0] - paths[1][0] if len(paths) > 1 else NONE
-
-    def learn(self, words: set[str]) -> None:
-        if len(self.new) > MEMORY:
-            self.old, self.new = self.new, {}
-        missing = words.difference(self.new)
-        again = [w for w in missing if w in self.old]
-        self.new.update((w, self.old[w]) for w in again)
-        missing.difference_update(again)
-        short = [w for w in missing if len(w) <= SHORT]
-        for at in range(0, len(short), 2000):  # what a processor's cache holds
-            part = short[at : at + 2000]
-            self.new.update(zip(part, self.solve_many(part), strict=True))
-        for w in missing:
-            if len(w) > SHORT:
-                self.new[w] = self.solve(w)
+        return backward(self.edges(text), self.forward(text), n)
+
+    def n_choices(self, word: str, n: int) -> list[tuple[int, np.ndarray, bool]]:
+        """(score, ids, whether they decode to the word) of a word's n best paths."""
+        found = self.choices.get((word, n))
+        if found is None:
+            shown = word.replace(BLANK, " ").encode("utf-8", "replace")
+            found = [(score, np.array(ids, np.uint32), self.decode(np.array(ids, np.int64)) == shown) for score, ids in self.n_best(word, n)]
+            if len(self.choices) >= CHOICES:
+                self.choices.clear()
+            self.choices[word, n] = found
+        return found
+
+    def learn(self, words: list[str]) -> None:
+        """Solves words that the store has no ids of."""
+        slots = self.store.of(words)[0]
+        sizes = np.fromiter(map(len, words), np.int64, len(words))
+        alone = np.flatnonzero(sizes > SHORT).tolist()
+        order = np.argsort(sizes, kind="stable")
+        for n in np.unique(sizes[sizes <= SHORT]).tolist():
+            a, b = np.searchsorted(sizes[order], [n, n + 1])
+            if not n:
+                self.store.put(slots[order[a:b]], np.zeros(b - a, np.int64), np.empty(0, np.uint32), score=0, gap=NONE, same=True)
+                continue
+            for at in range(a, b, max(1, CELLS // n)):
+                pick = order[at : min(b, at + max(1, CELLS // n))]
+                part = [words[k] for k in pick.tolist()]
+                ids, many, score, gap, odd = self.solve_many(part, n)
+                self.store.put(slots[pick], many, ids, score=score, gap=gap, same=self.same(part, ids, many))
+                alone += pick[odd].tolist()
+        for at in range(0, len(alone), 1000):  # long words, and those with characters to be spelled
+            pick = np.array(alone[at : at + 1000])
+            paths = [self.n_best(words[k], 2) for k in pick.tolist()]
+            ids = np.array([i for p in paths for i in p[0][1]], np.uint32)
+            many = np.array([len(p[0][1]) for p in paths])
+            gap = np.array([p[0][0] - p[1][0] if len(p) > 1 else NONE for p in paths])
+            self.store.put(slots[pick], many, ids, score=np.array([p[0][0] for p in paths]), gap=gap, same=self.same([words[k] for k in pick.tolist()], ids, many))
+
+    def same(self, words: list[str], ids: np.ndarray, many: np.ndarray) -> np.ndarray:
+        """Whether the ids of each word decode to it."""
+        shown = [w.replace(BLANK, " ").encode("utf-8", "replace") for w in words]
+        word = np.repeat(np.arange(len(words)), many)
+        size = self.raw_size[ids]
+        got = np.bincount(word, size, len(words)).astype(np.int64)
+        out = got == np.fromiter(map(len, shown), np.int64, len(words))
+        if not out.all():  # those of other lengths don't take part in what follows
+            pick = out[word]
+            ids, size, shown = ids[pick], size[pick], [x for x, ok in zip(shown, out.tolist(), strict=True) if ok]
+        stop = np.cumsum(size)
+        decoded = self.raw[np.repeat(self.raw_start[ids] - stop + size, size) + np.arange(stop[-1] if len(stop) else 0)]
+        wrong = np.flatnonzero(decoded != np.frombuffer(b"".join(shown), np.uint8))
+        if len(wrong):
+            out[np.flatnonzero(out)[np.searchsorted(np.cumsum(got[out]), wrong, side="right")]] = False
+        return out
 
     def find(self, h: np.ndarray) -> np.ndarray:
         """Rows where hashes are, or would be, in the sorted ones."""
@@ -180,119 +233,127 @@ class Pieces:
             row += self.hashes[row] < h
         return row
 
-    def solve_many(self, words: list[str]) -> list[tuple[bytes, int, int]]:
-        """``solve`` of many words at once, by forward and backward Viterbi passes
-        over all their lattices: a word's second choice is the best path through
-        an edge that isn't on its first."""
-        size = np.array([len(w) for w in words], np.int64)
-        c = np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), "<u4").astype(np.uint64)
-        word = np.repeat(np.arange(len(words)), size)
-        begin = np.cumsum(size) - size
-        right = (begin + size)[word]
-        node = np.arange(len(c)) + word  # a word of n characters has n + 1 nodes
-        # edges, a length at a time, as long as a piece begins so
-        at, h = np.arange(len(c)), np.zeros(len(c), np.uint64)
-        starts, lengths, rows = [], [], []
-        for k in range(1, SHORT + 1):
-            h = hashed(h, c[at + k - 1])
+    def solve_many(self, words: list[str], n: int) -> tuple[np.ndarray, ...]:
+        """Of words of n characters each, by forward and backward Viterbi passes over
+        all their lattices: the best ids and how many each has, their scores, what the
+        second choice costs (the best path through an edge that isn't on the first),
+        and which words hold a character to be spelled (their other results are void)."""
+        w = len(words)
+        c = np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), "<u4").astype(np.uint64).reshape(w, n).T.copy()
+        # a place is (start, word); score[k] and piece[k] are of the edges of k characters
+        at, h = np.arange(n * w), np.zeros(n * w, np.uint64)
+        flat, score, piece = c.ravel(), [None], [None]
+        odd = np.zeros(w, bool)
+        for k in range(1, min(n, self.longest) + 1):
+            h = hashed(h, flat[at + (k - 1) * w])
             row = self.find(h)
             known = self.hashes[row] == h
+            ids = np.where(known, self.piece_at[row], -1)
             if k == 1:
-                odd = np.unique(word[self.piece_at[row] < 0]) if known.all() else np.unique(word[~known | (self.piece_at[row] < 0)])
-            at, h, row = at[known], h[known], row[known]
-            edge = self.piece_at[row] >= 0
-            starts.append(at[edge])
-            lengths.append(np.full(int(edge.sum()), k))
-            rows.append(row[edge])
-            on = at + k < right[at]
+                odd[at[ids < 0] % w] = True
+            edge = ids >= 0
+            own, made = np.full((n - k + 1) * w, NONE, np.int64), np.zeros((n - k + 1) * w, np.uint32)
+            own[at[edge]], made[at[edge]] = self.score_at[row[edge]], ids[edge]
+            score.append(own.reshape(-1, w))
+            piece.append(made.reshape(-1, w))
+            on = known & (at < (n - k) * w)
             at, h = at[on], h[on]
-            if not len(at):
-                break
-        start, length, row = (np.concatenate(x) for x in (starts, lengths, rows))
-        score, own = self.score_at[row], word[start]
-        place = start - begin[own]
-        first, last = node[start], node[start] + length
-        n_nodes = len(c) + len(words)
-        # forward: by where edges end, then by node, then by start
-        order = np.argsort(((place + length) * n_nodes + last) * 64 + 63 - length)
-        best, back = np.full(n_nodes, NONE, np.int64), np.zeros(n_nodes, np.int64)
-        source = begin + np.arange(len(words))
-        best[source] = 0
-        ends = (place + length)[order]
-        for a, b in runs(ends):
-            e = order[a:b]
-            value, to = best[first[e]] + score[e], last[e]
-            cuts = np.flatnonzero(np.concatenate([[True], to[1:] != to[:-1]]))
-            top = np.maximum.reduceat(value, cuts)
-            best[to[cuts]] = top
-            equal = value == np.repeat(top, np.diff(np.append(cuts, len(e))))
-            back[to[cuts]] = e[np.minimum.reduceat(np.where(equal, np.arange(len(e)), len(e)), cuts)]
-        # backward: by where edges start, last first
-        order = np.argsort((SHORT - place) * n_nodes + first)
-        tail = np.full(n_nodes, NONE, np.int64)
-        sink = source + size
-        tail[sink] = 0
-        for a, b in runs(-place[order]):
-            e = order[a:b]
-            value, to = tail[last[e]] + score[e], first[e]
-            cuts = np.flatnonzero(np.concatenate([[True], to[1:] != to[:-1]]))
-            tail[to[cuts]] = np.maximum.reduceat(value, cuts)
-        # the first choices, and what passes beside them
-        chosen = np.zeros(len(start), bool)
-        cur = sink[np.isin(np.arange(len(words)), odd, invert=True)]
-        while len(cur):
-            e = back[cur]
-            chosen[e] = True
-            cur = first[e]
-            cur = cur[place[e] > 0]
-        second = np.full(len(words), 2 * NONE, np.int64)
-        np.maximum.at(second, own[~chosen], (best[first] + score + tail[last])[~chosen])
-        total = best[sink]
-        gap = np.where(second > NONE, total - second, NONE).tolist()
-        path = np.flatnonzero(chosen)
-        path = path[np.argsort(own[path] * 64 + place[path])]
-        raw = self.piece_at[row[path]].astype(np.uint32).tobytes()
-        stop = (4 * np.cumsum(np.bincount(own[path], minlength=len(words)))).tolist()
-        out = [(raw[a:b], s, g) for a, b, s, g in zip([0, *stop], stop, total.tolist(), gap, strict=False)]
-        for k in odd.tolist():  # words with characters to be spelled
-            out[k] = self.solve(words[k])
-        return out
-
-    def encode(self, texts: list[str], n: int) -> Iterator[list[tuple[int, bytes, bool]]]:
+        longest = len(score) - 1
+        best, tail = np.full((n + 1, w), NONE, np.int64), np.full((n + 1, w), NONE, np.int64)
+        back = np.zeros((n + 1, w), np.int64)
+        best[0], tail[n] = 0, 0
+        for end in range(1, n + 1):
+            for k in range(min(end, longest), 0, -1):  # of equal scores the smaller start stays
+                value = best[end - k] + score[k][end - k]
+                better = value > best[end]
+                best[end][better], back[end][better] = value[better], k
+        for start in range(n - 1, -1, -1):
+            for k in range(1, min(n - start, longest) + 1):
+                np.maximum(tail[start], score[k][start] + tail[start + k], out=tail[start])
+        # the first choices, by their start
+        chosen, every = np.zeros((n, w), np.int64), np.arange(w)
+        end = np.where(odd, 0, n)
+        while end.any():
+            k = back[end, every]
+            start = end - k
+            on = np.flatnonzero(end)
+            chosen[start[on], on] = k[on]
+            end = np.where(end > 0, start, 0)
+        second, ids = np.full(w, 2 * NONE, np.int64), np.zeros((n, w), np.uint32)
+        for k in range(1, longest + 1):
+            on = chosen[: n - k + 1] == k
+            ids[: n - k + 1][on] = piece[k][on]
+            through = best[: n - k + 1] + score[k] + tail[k:]
+            through[on] = 2 * NONE
+            np.maximum(second, through.max(axis=0), out=second)
+        taken = chosen > 0
+        return ids.T[taken.T], taken.sum(axis=0), best[n], np.where(second > NONE, best[n] - second, NONE), odd
+
+    def units(self, texts: list[str]) -> tuple[list[str], np.ndarray, np.ndarray]:
+        """The distinct words of all texts, which one stands at each place, and how
+        many places each text has."""
+        rows = pa.array(texts, pa.string())
+        mark = next((x for x in SEPARATORS if not any(x in t for t in texts)), None)
+        if not self.apart:
+            lists = pa.array([[t] for t in texts], pa.list_(pa.string()))
+        elif mark is None:
+            lists = pa.array([re.findall(f"{BLANK}*[^{BLANK}\n]+|{BLANK}+|\n", t) for t in texts], pa.list_(pa.string()))
+        else:
+            rows = pc.replace_substring(pc.replace_substring(rows, "\n", mark + "\n" + mark), BLANK, mark + BLANK)
+            while pc.any(pc.match_substring(rows, BLANK + mark + BLANK)).as_py():  # runs of blanks stay whole
+                rows = pc.replace_substring(rows, BLANK + mark + BLANK, BLANK + BLANK)
+            lists = pc.split_pattern(rows, mark)
+        coded = lists.flatten().dictionary_encode()
+        return coded.dictionary.to_numpy(zero_copy_only=False).tolist(), np.asarray(coded.indices), np.asarray(lists.value_lengths(), np.int64)
+
+    def encode(self, texts: list[str], n: int) -> Iterator[list[tuple[int, np.ndarray, bool]]]:
         """Of each normalized text the n best segmentations: score, ids, and whether
-        what differs from the best one decodes to the same words."""
-        words = [self.words(t) for t in texts]
-        solved = [list(map(self.new.get, w)) for w in words]
-        missing = {w for ws, found in zip(words, solved, strict=True) if None in found for w, f in zip(ws, found, strict=True) if f is None}
-        self.learn(missing)
-        for k, found in enumerate(solved):
-            if None in found:  # learned by now; what was found may have gone into the older generation
-                found = [f or self.new[w] for w, f in zip(words[k], found, strict=True)]
-            yield self._chain(words[k], found, n)
-
-    def _chain(self, words: list[str], solved: list[tuple[bytes, int, int]], n: int) -> list[tuple[int, bytes, bool]]:
-        if not words:
-            return [(0, b"", True)]
-        ids, scores, gaps = zip(*solved, strict=True)
-        total, gaps, joined = sum(scores), np.array(gaps, np.int64), b"".join(ids)
-        open_ = np.flatnonzero(gaps >= 0)
-        open_ = np.sort(open_[np.lexsort((open_, gaps[open_]))[: n - 1]]) if n > 1 else open_[:0]
+        they decode to the text (word by word, as decoding joins pieces)."""
+        if not texts:
+            return
+        words, at, many = self.units(texts)
+        store = self.store
+        store.trim()
+        slots, new = store.of(words)
+        self.learn(new)
+        store.used(slots, np.bincount(at, minlength=len(slots)))
+        here = slots[at]
+        ids, size = store.gather(here)
+        id_stop = np.append(0, np.cumsum(size, dtype=np.int64))
+        stop = np.cumsum(many)
+        begin = stop - many
+        total = np.add.reduceat(store.columns["score"][here], begin)
+        same = np.logical_and.reduceat(store.columns["same"][here], begin)
+        # the n - 1 words of each text whose second choice costs least, of equals the first
+        gap = store.columns["gap"][here]
+        gap[gap < 0] = -NONE
+        places = np.arange(len(here))
+        opens = []
+        for _ in range(n - 1):
+            least = np.minimum.reduceat(gap, begin)
+            first = np.minimum.reduceat(np.where(gap == np.repeat(least, many), places, len(here)), begin)
+            opens.append(np.where(least < -NONE, first, -1))
+            gap[first] = -NONE
+        opens = np.sort(np.array(opens, np.int64).reshape(n - 1, len(texts)).T, axis=1).tolist()
+        for t, (a, b) in enumerate(zip(id_stop[begin].tolist(), id_stop[stop].tolist(), strict=True)):
+            open_ = [k for k in opens[t] if k >= 0]
+            yield self._chain(ids[a:b], int(total[t]), bool(same[t]), [(words[at[k]], int(id_stop[k]) - a, int(id_stop[k + 1]) - a) for k in open_], n)
+
+    def _chain(self, ids: np.ndarray, total: int, same: bool, open_: list[tuple[str, int, int]], n: int) -> list[tuple[int, np.ndarray, bool]]:
+        """open_: words that can differ, and where in ids theirs begin and end."""
         # a chain: node k lies before the k-th open word, edges are its choices
-        choices = [self.n_best(words[k], n) for k in open_.tolist()]
-        into: list[list[Edge]] = [[], *([(k, (c,), score) for c, (score, _) in enumerate(paths)] for k, paths in enumerate(choices))]
+        choices = [self.n_choices(word, n) for word, _, _ in open_]
         best = [0]
         for paths in choices:
             best.append(best[-1] + paths[0][0])
         rest = total - best[-1]
-        starts = [sum(map(len, ids[:k])) for k in open_.tolist()]
         out = []
-        for score, picked in backward(into, best, n):
-            parts, at, same = [], 0, True
-            for k, start, c, paths in zip(open_.tolist(), starts, picked, choices, strict=True):
-                parts += [joined[at:start], array("I", paths[c][1]).tobytes()]
-                at = start + len(ids[k])
-                same = same and (c == 0 or self.decode(np.array(paths[c][1])) == words[k].replace(BLANK, " ").encode())
-            out.append((rest + score, b"".join(parts) + joined[at:], same))
+        for score, picked in backward(lambda k: [(k - 1, (c,), path[0]) for c, path in enumerate(choices[k - 1])], best, n):
+            parts, at, ok = [], 0, same
+            for (_, a, b), c, paths in zip(open_, picked, choices, strict=True):
+                parts += [ids[at:a], paths[c][1]]
+                at, ok = b, ok and paths[c][2]
+            out.append((rest + score, np.concatenate([*parts, ids[at:]]), ok))
         return out
 
     def decode(self, ids: np.ndarray) -> bytes:
@@ -300,10 +361,10 @@ class Pieces:
         return b"".join(map(self.bytes.__getitem__, ids.tolist()))
 
 
-def backward(into: list[list[Edge]], best: list[int], n: int) -> list[tuple[int, tuple[int, ...]]]:
+def backward(into: Callable[[int], list[Edge]], best: list[int], n: int) -> list[tuple[int, tuple[int, ...]]]:
     """A* from the last node to the first; best: the exact best score up to each node."""
     serial, out, push, pop = 0, [], heapq.heappush, heapq.heappop
-    agenda = [(-best[-1], len(into) - 1, 0, 0, None)]
+    agenda = [(-best[-1], len(best) - 1, 0, 0, None)]
     while agenda:
         _, node, _, done, path = pop(agenda)
         if not node:
@@ -315,7 +376,7 @@ def backward(into: list[list[Edge]], best: list[int], n: int) -> list[tuple[int,
             if len(out) == n:
                 break
             continue
-        for start, own, score in into[node]:
+        for start, own, score in into(node):
             serial += 1
             score += done
             push(agenda, (-best[start] - score, start, serial, score, (own, path)))
@@ -348,15 +409,11 @@ def encode_documents(docs: DataFrame, n: int = 3, model: str | None = None, scor
         pieces = loaded(proto.value, scores)
 
         def each(batch: pa.RecordBatch) -> pa.RecordBatch:
-            rows: list[tuple] = []
             texts = [pieces.model.normalize(t.decode("utf-8", "replace")) for t in to_bytes(batch.column(1))]
-            for doc_id, normal, paths in zip(batch.column(0).to_pylist(), texts, pieces.encode(texts, n), strict=True):
-                shown = normal.replace(BLANK, " ").encode()
-                whole = pieces.decode(np.frombuffer(paths[0][1], np.uint32)) == shown
-                for k, (score, raw, same) in enumerate(paths):
-                    # decoding joins pieces, so beside the best path only what differs is decoded
-                    ids = np.frombuffer(raw, np.uint32)
-                    rows.append((doc_id, k + 1, score / UNIT, len(ids), zlib.crc32(ids.astype("<u4").tobytes()), whole and same, *[ids.tolist()] * with_ids))
+            rows: list[tuple] = []
+            for doc_id, paths in zip(batch.column(0).to_pylist(), pieces.encode(texts, n), strict=True):
+                for k, (score, ids, same) in enumerate(paths):
+                    rows.append((doc_id, k + 1, score / UNIT, len(ids), zlib.crc32(ids.astype("<u4", copy=False)), same, *[ids.tolist()] * with_ids))
             return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names)
 
         return each

@@ -1,5 +1,6 @@
 """The operators on small tables: brute force, nulls, ties, repeated rows, clashing names."""
 
+import hashlib
 import math
 import random
 import re
@@ -61,22 +62,55 @@ def test_pieces_against_all_paths(vocabulary):
     r = random.Random(2)
     for _ in range(150):
         t = vocabulary.model.normalize("".join(r.choice("the aningeré\n☃.") for _ in range(r.randint(0, 9))))
-        into, _ = vocabulary.lattice(t)
+        into = vocabulary.edges(t)
 
         def every(end, into=into):
-            return [0] if end == 0 else [s + score for start, _, score in into[end] for s in every(start)]
+            return [0] if end == 0 else [s + score for start, _, score in into(end) for s in every(start)]
 
         best = sorted(every(len(t)), reverse=True)[:4]
         got = next(vocabulary.encode([t], 4))
-        assert [s for s, _, _ in got] == best and len({i for _, i, _ in got}) == len(got)
-        assert all(vocabulary.decode(np.frombuffer(i, np.uint32)) == t.replace("▁", " ").encode() for _, i, same in got if same)
+        assert [s for s, _, _ in got] == best and len({i.tobytes() for _, i, _ in got}) == len(got)
+        assert all(vocabulary.decode(i) == t.replace("▁", " ").encode() for _, i, _ in got)
         assert all(same for _, _, same in got)
 
 
 def test_pieces_solved_together_as_alone(vocabulary):
     r = random.Random(3)
-    ws = list({"▁" + words(r, 1, "aeginrsthé☃")[:40] for _ in range(500)})
-    assert vocabulary.solve_many(ws) == [vocabulary.solve(w) for w in ws]
+    by_size = defaultdict(set)
+    for _ in range(800):
+        w = "▁" + words(r, 1, "aeginrsthé\U00013000")[:40] * r.randint(1, 6)
+        by_size[len(w)].add(w)
+    for n, ws in by_size.items():
+        ws = sorted(ws)
+        ids, many, score, gap, odd = vocabulary.solve_many(ws, n)
+        stop = np.cumsum(many)
+        for k, w in enumerate(ws):
+            paths = vocabulary.n_best(w, 2)
+            assert odd[k] == ("\U00013000" in w)
+            if not odd[k]:
+                assert (tuple(ids[stop[k] - many[k] : stop[k]].tolist()), score[k]) == (paths[0][1], paths[0][0])
+                assert gap[k] == (paths[0][0] - paths[1][0] if len(paths) > 1 else pieces.NONE)
+
+
+def test_pieces_of_many_texts_as_of_one(vocabulary):
+    r = random.Random(31)
+    texts = [vocabulary.model.normalize(t) for t in [*(words(r, r.randint(0, 60), "aeinrsté \n.☃") for _ in range(60)), "", "\n\n", "a\x01b\x02  c", "   x   y", "e" * 200]]
+    for t, got in zip(texts, vocabulary.encode(texts, 3), strict=True):
+        want = vocabulary.n_best(t, 3)
+        assert [s for s, _, _ in got] == [s for s, _ in want]
+        assert tuple(got[0][1].tolist()) == want[0][1]
+        assert all(same == (vocabulary.decode(ids) == t.replace("▁", " ").encode()) for _, ids, same in got)
+
+
+def test_word_store_forgets_the_least_used(vocabulary):
+    small = pieces.Pieces(pieces.model_bytes())
+    small.store.limit = 20_000
+    r = random.Random(32)
+    for _ in range(10):
+        texts = [vocabulary.model.normalize("the same words " + words(r, 80, "aeinrst")) for _ in range(4)]
+        assert [[(s, i.tolist()) for s, i, _ in x] for x in small.encode(texts, 2)] == [[(s, i.tolist()) for s, i, _ in x] for x in vocabulary.encode(texts, 2)]
+    small.store.trim()
+    assert small.store.bytes <= 20_000 and "▁the" in small.store.slots
 
 
 def test_pieces_odd_rows(spark):
@@ -108,11 +142,28 @@ def test_warc(spark):
     kinds = Counter((r.capture.page_id, r.capture.kind, r.capture.refers_page) for r in got)
     assert kinds[(3, "response", None)] == 1 and kinds[(9, "revisit", 3)] == 1 and kinds[(5, "revisit", 3)] == 2 and kinds[(None, "revisit", 3)] == 1
     assert kinds[(1, "response", None)] == kinds[(2, "response", None)] == kinds[(4, "response", None)] == 1
-    ids = {r.capture.id for r in got if r.capture.page_id == 3}
-    assert {r.capture.refers_to for r in got if r.capture.kind == "revisit"} == ids
+    assert {r.capture.refers_uri for r in got if r.capture.kind == "revisit"} == {"http://a/ 2 x: y"}
     assert warc.warc_captures(pages.where("false")).count() == 0
 
 
+def test_warc_of_shuffled_pages_and_long_payloads(spark):
+    texts = [f"<p>{k % 700} {'x' * (k % 150)}</p>" for k in range(3000)] + ["z" * 3_000_000]
+    rows = [(k, f"http://a/{k}", t, 1, 2, "c") for k, t in enumerate(texts)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string, row long, n long, first string").repartition(7, "html", F.rand(3))
+    got = warc.warc_captures(pages).collect()
+    first = {}
+    for k, t in enumerate(texts):
+        first.setdefault(t, k)
+    assert len(got) == len(texts)
+    for g in got:
+        c, t = g.capture, texts[g.capture.page_id]
+        digest = hashlib.sha256(t.encode()).hexdigest()
+        again = len(t) >= 100 and first[t] != c.page_id
+        assert (c.payload_digest or c.digest) == digest and c.digest == digest and c.payload_bytes == len(t)
+        assert c.kind == ("revisit" if again else "response") and c.refers_page == (first[t] if again else None)
+        assert len(g.request) == len(g.metadata) == 1
+
+
 # --- 3 ---
 
 
@@ -145,12 +196,29 @@ def test_simhash_documents(spark):
     assert len(got) == len(texts)
     assert all(g.fingerprint == f"{fp[g.doc_id]:016x}" and g.component_id == comp[g.doc_id] for g in got)
     assert comp[0] == comp[1] == comp[2] == 0
-    how = {"width": 4, "n_words": 1, "max_bits": 4, "n_segments": 3}
-    kept = simhash.drop_near_copies(frame(spark, texts).union(frame(spark, texts[:12])), **how).collect()
-    assert sorted(k.doc_id for k in kept) == sorted(set(comp.values())) and len(kept[0]) == 12
+    assert simhash.simhash_components(frame(spark, []).where("false")).count() == 0
 
 
-@pytest.mark.parametrize("n_segments,bits,block", [(3, 4, 8192), (3, 4, 40), (4, 4, 8192), (5, 4, 16), (2, 3, 8192)])
+def split(x):
+    return [v - (1 << 64) if v >> 63 else v for v in ((x >> 64 * k) & ((1 << 64) - 1) for k in range(2))]
+
+
+def test_wide_codes_within_the_bound_all_meet(spark):
+    r = random.Random(51)
+    values = [r.getrandbits(128) for _ in range(300)]
+    for x in list(values):
+        for b in r.sample(range(128), r.randint(1, 14)):
+            x ^= 1 << b
+        values.append(x)
+    seg = simhash.complete(12, 8, 2)  # radii: five of 1, three of 0
+    assert sum(seg.radius) == 5
+    nodes = spark.createDataFrame([(k, *split(v)) for k, v in enumerate(values)], "node long, fp0 long, fp1 long")
+    got = {g.node: g.root for g in connected_components(simhash.links(nodes, seg, 12, 8192, 2)).collect()}
+    want = slow_components(dict(enumerate(values)), 12)
+    assert {k: got.get(k, k) for k in want} == want
+
+
+@pytest.mark.parametrize("n_segments,bits,block", [(3, 4, 8192), (3, 4, 40), (4, 4, 8192), (5, 4, 16), (2, 3, 8192), (2, 4, 30), (2, 4, 8192)])
 def test_simhash_links_lose_nothing(spark, n_segments, bits, block):
     r = random.Random(5)
     centre = r.getrandbits(64)
@@ -162,12 +230,28 @@ def test_simhash_links_lose_nothing(spark, n_segments, bits, block):
         values.add(x)
     signed = {v - (1 << 64) if v >> 63 else v: v for v in values}
     nodes = spark.createDataFrame([(s, s) for s in signed], "node long, fp0 long")
-    got = connected_components(simhash.links(nodes, bits, n_segments, block))
+    got = connected_components(simhash.links(nodes, simhash.complete(bits, n_segments), bits, block))
     root = {g.node: g.root for g in got.collect()}
     want = slow_components({s: v for s, v in signed.items()}, bits)
     assert {s: root.get(s, s) for s in signed} == want
 
 
+def test_lookups_of_a_hot_value_are_split(spark):
+    r = random.Random(52)
+    low = 0b1011 << 3  # many codes share the value of the first segment, some lack a bit of it
+    values = {(r.getrandbits(43) << 21) | low for _ in range(600)}
+    values |= {v ^ (1 << r.choice([3, 4, 6])) for v in list(values)[:90]}
+    signed = [v - (1 << 64) if v >> 63 else v for v in values]
+    nodes = spark.createDataFrame([(s, s) for s in signed], "node long, fp0 long")
+    seg = simhash.complete(4, 3)
+    hot = {h.key: (h.ks, h.ka) for h in simhash.split_keys(nodes.select("node", "fp0"), seg, ["fp0"], 50).collect()}
+    keys = [simhash.Segments.key(seg, 0, np.array([low ^ b], np.uint64))[0] for b in (0, 8, 16, 64)]
+    assert hot[keys[0]][0] > 10 and all(hot[k][1] > 10 for k in keys[1:])
+    got = {g.node: g.root for g in connected_components(simhash.links(nodes, seg, 4, 50)).collect()}
+    want = slow_components({s: v for s, v in zip(signed, values, strict=True)}, 4)
+    assert {s: got.get(s, s) for s in want} == want
+
+
 def test_near_copies_of_wide_codes(spark):
     r = random.Random(13)
     base = [words(r, 300) for _ in range(120)]
@@ -182,7 +266,7 @@ def test_near_copies_of_wide_codes(spark):
 
 
 def jaccard(a, b, width=5):
-    a, b = (set(simhash.shingles(x.encode(), width)) for x in (a, b))
+    a, b = (set(simhash.shingle_hashes(x.encode(), width).tolist()) for x in (a, b))
     return len(a & b) / len(a | b)
 
 
@@ -224,10 +308,62 @@ def test_similar_sets_in_blocks(spark):
                 x, y = want[i], want[j]
                 want = {k: min(x, y) if v in (x, y) else v for k, v in want.items()}
     assert len(set(want.values())) < len(rows)
-    nodes = spark.createDataFrame([(7, k, bytearray(x.tobytes())) for k, x in enumerate(sets)], "component_id long, node long, hashes binary")
-    for block, size in ((512, 1 << 20), (16, 1 << 20), (512, 400)):
+    nodes = spark.createDataFrame([(7, k, x.tolist()) for k, x in enumerate(sets)] + [(8, 1000, [1]), (9, 2000, []), (9, 2001, [5])], "root long, node long, hashes array<long>")
+    for block, size, leaders in ((512, 1 << 20, 64), (16, 1 << 20, 64), (16, 1 << 20, 4), (512, 400, 2), (16, 1 << 20, 0)):
+        simhash.LEADERS = leaders
         got = {g.node: g.root for g in connected_components(simhash.verified_links(nodes, 0.8, block, size)).collect()}
         assert {k: got.get(k, k) for k in want} == want
+    simhash.LEADERS = 64
+
+
+def slow_groups(rows, least=0.8):
+    """Groups of (doc_id, text) by the filter's rule, over all pairs."""
+    texts = list(dict.fromkeys(rows))
+    sets = [set(simhash.shingle_hashes((t or "").encode(), 5).tolist()) for _, t in texts]
+    par = {k: k for k in range(len(texts))}
+    for i, a in enumerate(sets):
+        for j, b in enumerate(sets[:i]):
+            if (not a and not b) or (a and b and len(a & b) >= least * len(a | b)):
+                x, y = find(par, i), find(par, j)
+                par[max(x, y)] = min(x, y)
+    groups = defaultdict(list)
+    for k, row in enumerate(texts):
+        groups[find(par, k)].append(row)
+    return list(groups.values())
+
+
+def test_near_copies_filter_against_all_pairs(spark):
+    r = random.Random(24)
+    base = [words(r, 120) for _ in range(30)]
+    texts = ODD + base + [edited(r, b, n) for b in base[:20] for n in (1, 1, 9)] + base[:5]
+    rows = [(k, t) for k, t in enumerate(texts)] + [(5, base[0]), (7, base[3]), (900, base[1]), (900, base[1]), (900, base[2])]
+    df = spark.createDataFrame([(*x, 1, "z", 2, 3) for x in rows] + [(None, base[0], 1, "z", 2, 3), (None, None, 1, "z", 2, 3)], "doc_id long, text string, t0 int, node string, root int, many int").repartition(5, "doc_id")
+    kept = simhash.drop_near_copies(df)
+    assert kept.schema == df.schema
+    got = Counter((k.doc_id, k.text) for k in kept.collect())
+    assert got[None, base[0]] == got[None, None] == 1
+    groups = slow_groups(rows)
+    for g in groups:  # one row of each, of the smallest doc_id
+        rest = {x: got[x] for x in g if got[x]}
+        assert sum(rest.values()) == 1 and next(iter(rest))[0] == min(i for i, _ in g), g
+    assert sum(got.values()) == len(groups) + 2
+    assert simhash.drop_near_copies(df.where("false")).count() == 0
+
+
+def test_one_doc_id_with_two_texts_loses_none(spark):
+    r = random.Random(25)
+    a, b = words(r, 50), words(r, 50)
+    for rows in ([(5, a), (5, b), (7, b)], [(5, b), (5, a), (7, b)]):
+        df = spark.createDataFrame(rows, "doc_id long, text string")
+        assert {(k.doc_id, k.text) for k in simhash.drop_near_copies(df).collect()} == {(5, a), (5, b)}
+
+
+def test_a_very_long_text(spark):
+    long = words(random.Random(26), 400_000)
+    df = spark.createDataFrame([(1, long), (2, long + " tail"), (3, "x " * 300_000)], "doc_id long, text string")
+    assert {k.doc_id for k in simhash.drop_near_copies(df).collect()} == {1, 3}
+    got = {g.doc_id: g for g in simhash.simhash_components(df, width=4).collect()}
+    assert got[1].component_id == got[2].component_id == 1 and got[3].component_id == 3
 
 
 # --- 4 ---
