@@ -6,11 +6,14 @@ import os
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 from itertools import repeat
 from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -66,10 +69,33 @@ def new_path(spark: SparkSession, kind: str) -> str:
     return f"{work_dir(spark)}/{kind}-{uuid.uuid4().hex}"
 
 
+_OPEN: ContextVar[list[str] | None] = ContextVar("open", default=None)
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[Callable[..., None]]:
+    """Deletes the tables that are materialized within, but for those given to
+    what it yields, which a later plan reads."""
+    paths: list[str] = []
+    kept: set[str] = set()
+    token = _OPEN.set(paths)
+    try:
+        yield lambda *tables: kept.update(df._shared_path for df in tables)
+    finally:
+        _OPEN.reset(token)
+        for path in paths:
+            if path not in kept:
+                delete(spark, path)
+        if (outer := _OPEN.get()) is not None:
+            outer += sorted(kept)
+
+
 def materialize(df: DataFrame, kind: str = "table") -> DataFrame:
     """Write ``df`` to the shared folder and read it back: lineage ends there."""
     spark = df.sparkSession
     path = new_path(spark, kind)
+    if (paths := _OPEN.get()) is not None:
+        paths.append(path)
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._shared_path = path
@@ -122,6 +148,19 @@ def to_bytes(column: pa.Array) -> list[bytes]:
     return [x or b"" for x in column.cast(pa.binary()).to_pylist()]
 
 
+def words_of(texts: pa.Array) -> tuple[list[bytes], np.ndarray, np.ndarray]:
+    """The distinct words of all texts (null: none), which one stands at each place,
+    and the text that each place is in."""
+    lists = pc.ascii_split_whitespace(texts.fill_null(""))
+    coded = lists.flatten().dictionary_encode()
+    words, at = coded.dictionary.cast(pa.binary()).to_numpy(zero_copy_only=False).tolist(), np.asarray(coded.indices)
+    text = np.repeat(np.arange(len(texts)), np.asarray(lists.value_lengths()))
+    if b"" in words:  # where white space begins or ends a text
+        there = at != words.index(b"")
+        at, text = at[there], text[there]
+    return words, at, text
+
+
 class IdStore:
     """Ids of words in flat arrays, and other numbers of theirs by name.
 
@@ -167,7 +206,7 @@ class IdStore:
             self.bytes += self.ENTRY * len(new) + sum(map(len, new))
             for k, a in self.columns.items():
                 if len(a) < len(self.slots):
-                    self.columns[k] = np.concatenate([a, np.zeros(2 * len(self.slots) - len(a), a.dtype)])
+                    self.columns[k] = np.concatenate([a, np.zeros((2 * len(self.slots) - len(a), *a.shape[1:]), a.dtype)])
         return got, new
 
     def used(self, slots: np.ndarray, times: np.ndarray) -> None:

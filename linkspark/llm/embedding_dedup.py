@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import connected_components, materialize, small_batches, star_edges
+from .common import connected_components, map_batches, materialize, star_edges
 
 KEY_BITS = 62
 MEANS_BYTES = 16 << 20  # of the means that come to the driver, those of the largest labels
@@ -50,8 +50,6 @@ def classes(embeddings: DataFrame) -> tuple[DataFrame, DataFrame, bool]:
     and a row per class of equal vectors: node, label, dim, vec (bytes), many, least."""
     kind = embeddings.schema["embedding"].dataType
     single = isinstance(kind, T.ArrayType) and isinstance(kind.elementType, T.FloatType)
-    spark = embeddings.sparkSession
-    small_batches(spark)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ["vec_id", "label", "dim", "vec"]
@@ -69,7 +67,7 @@ def classes(embeddings: DataFrame) -> tuple[DataFrame, DataFrame, bool]:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(labels, pa.string()), pa.array(dims, pa.int32()), pa.array(vecs, pa.binary())], names)
 
     picked = embeddings.select(embeddings["vec_id"].cast("long").alias("vec_id"), embeddings["label"].cast("string").alias("label"), "embedding")
-    every = picked.mapInArrow(run, "vec_id long, label string, dim int, vec binary")
+    every = map_batches(picked, lambda: run, "vec_id long, label string, dim int, vec binary", whole=True)
     digest = F.when(F.col("vec").isNotNull(), F.sha2(F.concat(F.col("label").cast("binary"), F.lit(b"\0"), F.col("vec")), 256))
     every = materialize(every.withColumn("class", digest), "vectors")
     found = every.where("class is not null").groupBy("class").agg(F.first("label").alias("label"), F.first("dim").alias("dim"), F.first("vec").alias("vec"), F.count("*").alias("many"), F.min("vec_id").alias("least"))
@@ -95,9 +93,8 @@ def label_means(nodes: DataFrame, single: bool, window: int) -> dict[tuple[str,
     large = {(r.label, r.dim): r["count"] for r in size.orderBy(*order).limit(max(1, MEANS_BYTES // (8 * widest))).collect()}
     if not large:
         return {}
-    small_batches(nodes.sparkSession)
     picked = nodes.join(F.broadcast(nodes.sparkSession.createDataFrame(list(large), "label string, dim int")), ["label", "dim"], "left_semi")
-    parts = picked.select("label", "dim", "vec").mapInArrow(run, "label string, dim int, sums array<double>")
+    parts = map_batches(picked.select("label", "dim", "vec"), lambda: run, "label string, dim int, sums array<double>", whole=True)
     at = parts.select("label", "dim", F.posexplode("sums").alias("k", "x")).groupBy("label", "dim", "k").agg(F.sum("x").alias("x"))
     means = {g: np.zeros(g[1]) for g in large}
     for r in at.toLocalIterator():
@@ -162,11 +159,11 @@ def window_edges(nodes: DataFrame, single: bool, least: float, window: int, pass
     """Edges of all passes. So many passes as one job sorts at once bound the disk."""
     found = None
     side = nodes.select("node", "label", "dim", "vec")
-    means = label_means(nodes, single, window)
+    shared = nodes.sparkSession.sparkContext.broadcast(label_means(nodes, single, window))  # of MEANS_BYTES at most
     for at in range(0, passes, passes_at_once):
-        keyed = side.mapInArrow(_keys(list(range(at, min(at + passes_at_once, passes))), single, seed, means), "pass int, label string, dim int, key long, node long, vec binary")
+        keyed = map_batches(side, lambda at=at: _keys(list(range(at, min(at + passes_at_once, passes))), single, seed, shared.value), "pass int, label string, dim int, key long, node long, vec binary", whole=True)
         order = ["pass", "label", "dim", "key", "node"]
-        part = materialize(keyed.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(_windows(window, least, single), "u long, v long"), "links")
+        part = materialize(map_batches(keyed.repartitionByRange(*order).sortWithinPartitions(*order), lambda: _windows(window, least, single), "u long, v long", whole=True), "links")
         found = part if found is None else found.unionByName(part)
     return found.distinct()
 
@@ -221,7 +218,7 @@ def count_links(nodes: DataFrame, roots: DataFrame, single: bool, least: float,
     each = joined.withColumn("own", own).select("*", F.explode(F.sequence(F.lit(0), F.col("k") - 1)).alias("j"))
     cells = each.select("root", F.least("own", "j").alias("lo"), F.greatest("own", "j").alias("hi"), "own", "node", "many", "dim", "vec")
     dealt = cells.repartition("root", "lo", "hi").sortWithinPartitions("root", "lo", "hi", "node")
-    return dealt.mapInArrow(_count(least, single, block), "node long, links long").groupBy("node").agg(F.sum("links").alias("links"))
+    return map_batches(dealt, lambda: _count(least, single, block), "node long, links long", whole=True).groupBy("node").agg(F.sum("links").alias("links"))
 
 
 def embedding_components(embeddings: DataFrame, least: float = 0.98, window: int = 48, passes: int = 48, passes_at_once: int = 4, block: int = 1024, seed: int = 5) -> DataFrame:

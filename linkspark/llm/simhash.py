@@ -3,121 +3,179 @@
 A document's fingerprint has the majority bits of its shingles' hashes. Equal
 fingerprints are one node. Each fingerprint stands in one table per segment
 under the segment's value; each also looks up the values within a small Hamming
-ball of its own (only those with one set bit less: of two values that differ in
-one bit just one has it set). Segment radii add up to ``max_bits - segments +
-1``, so by the pigeonhole principle every pair within ``max_bits`` meets in some
-table, where the complete distance is verified. Tables are dealt by key and
-sorted; a task walks through its keys in batches and puts out no more edges than
-rows. A key with more than ``block_rows`` fingerprints is split into blocks, of
-which every pair is compared, each in a task of its own.
-
-Null and empty texts have fingerprint zero, which links like any other. A null
-doc_id never names a component; a component of such rows alone is null.
+ball of its own (only the smaller ones: of two values one is the smaller). Radii
+add up to ``max_bits - segments + 1``, so by the pigeonhole principle every pair
+within ``max_bits`` meets in some table, where the complete distance is verified.
+Tables are dealt by key and sorted; a task walks through its keys in batches and
+puts out no more edges than rows. A key under which more than ``block_rows``
+fingerprints stand, or which more look up, is split into blocks that meet pair
+by pair, each pair in a task of its own; a lookup of a key under which nothing
+stands is dropped there. Segments are wide where fingerprints are many, so that
+few share a key by chance.
+
+Null and empty texts have fingerprint zero, which links like any other. Long
+texts are hashed in slices. Equal texts, and ties for the smallest doc_id, are
+one node, so repeated rows get equal results. A null doc_id never names a
+component; a component of such rows alone is null. Columns besides doc_id and
+text are not looked at, whatever their names. An empty table gives no rows.
+
+The filter ``drop_near_copies`` finds candidates in the same way, by wider codes,
+and verifies them by their sets of shingles.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from itertools import accumulate
+from itertools import combinations
+from math import ceil, comb, log, log2
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import connected_components, map_batches, materialize, small_batches, star_edges, to_bytes
+from .common import connected_components, few, map_batches, materialize, scratch, star_edges, to_bytes
 
 SEED = 42  # of XXH64
 CHUNK = 1 << 16  # shingles hashed at once
 COLUMNS = 4096  # shingles counted at once where sets are compared
 MIX = np.uint64(0xD6E8FEB86659FD93)
+LEADERS = 64  # members of a large component that all others are compared with first
 
 
-def shingles(text: bytes, width: int) -> list[bytes]:
+def shingle_hashes(text: bytes, width: int) -> np.ndarray:
+    """XXH64 of each run of ``width`` words, repeats included; of all words where they are fewer."""
     words = text.lower().split()
+    joined, digest = b" ".join(words), xxhash.xxh64_intdigest
     if len(words) <= width:
-        return [b" ".join(words)] if words else []
-    joined = b" ".join(words)
-    stops = list(accumulate(len(w) + 1 for w in words))
-    starts = [0, *stops]
-    return [joined[a : b - 1] for a, b in zip(starts, stops[width - 1 :], strict=False)]
-
-
-def code(text: bytes, width: int, n_words: int = 1) -> list[int]:
-    """The majority bits of the shingles' hashes, as signed 64-bit numbers: the
-    first of XXH64 itself, each further one of a mix of it."""
-    parts = shingles(text, width)
+        return np.array([digest(joined, SEED)] if words else [], np.uint64)
+    stop = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1)
+    start, stop = np.append(0, stop)[: len(words) - width + 1], stop[width - 1 :] - 1
+    out = np.empty(len(start), np.uint64)
+    for at in range(0, len(out), CHUNK):
+        out[at : at + CHUNK] = [digest(joined[a:b], SEED) for a, b in zip(start[at : at + CHUNK].tolist(), stop[at : at + CHUNK].tolist(), strict=True)]
+    return out
+
+
+def code(hashes: np.ndarray, n_words: int = 1) -> list[int]:
+    """The majority bits of hashes, as signed 64-bit numbers: the first of the
+    hashes themselves, each further one of a mix of them."""
     counts = np.zeros((n_words, 64), np.int64)
-    for at in range(0, len(parts), CHUNK):
-        digest = xxhash.xxh64_intdigest
-        h = np.array([digest(s, SEED) for s in parts[at : at + CHUNK]], np.uint64)
-        for k in range(n_words):
-            counts[k] += np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-            h = (h ^ (h >> np.uint64(29))) * MIX
-            h = (h ^ (h >> np.uint64(32))) * MIX
-    return np.packbits(2 * counts > len(parts), axis=1, bitorder="little").view(np.int64)[:, 0].tolist()
+    for at in range(0, len(hashes), CHUNK):
+        rows = [hashes[at : at + CHUNK]]
+        while len(rows) < n_words:
+            h = (rows[-1] ^ (rows[-1] >> np.uint64(29))) * MIX
+            rows.append((h ^ (h >> np.uint64(32))) * MIX)
+        bits = np.unpackbits(np.stack(rows).view(np.uint8).reshape(n_words, -1, 8), axis=2, bitorder="little")
+        for low in range(0, bits.shape[1], 255):  # sums of bytes, as far as they fit one
+            counts += bits[:, low : low + 255].sum(axis=1, dtype=np.uint8)
+    return np.packbits(2 * counts > len(hashes), axis=1, bitorder="little").view(np.int64)[:, 0].tolist()
 
 
 def names(n_words: int) -> list[str]:
     return [f"fp{k}" for k in range(n_words)]
 
 
-def fingerprints(docs: DataFrame, width: int, n_words: int = 1) -> DataFrame:
-    """doc_id and fp0, fp1 ... of every row of ``docs``."""
-    columns = ["doc_id", *names(n_words)]
+def longs(columns: list[str]) -> str:
+    return ", ".join(f"{c} long" for c in columns)
+
+
+def fingerprints(docs: DataFrame, width: int) -> DataFrame:
+    """doc_id and fp0 of every row of ``docs``."""
 
     def make():
         def each(batch: pa.RecordBatch) -> pa.RecordBatch:
-            fp = np.array([code(x, width, n_words) for x in to_bytes(batch.column(1))], np.int64)
-            return pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c) for c in fp.T.copy())], columns)
+            fp = [code(shingle_hashes(x, width))[0] for x in to_bytes(batch.column(1))]
+            return pa.RecordBatch.from_arrays([batch.column(0), pa.array(fp, pa.int64())], ["doc_id", "fp0"])
 
         return each
 
-    return map_batches(docs.select(docs["doc_id"].cast("long").alias("doc_id"), "text"), make, ", ".join(f"{c} long" for c in columns))
+    return map_batches(docs.select(docs["doc_id"].cast("long").alias("doc_id"), "text"), make, "doc_id long, fp0 long")
 
 
 class Segments:
-    """Cuts the words of a code into segments; each has a ball of radius 0 or 1.
+    """Cuts codes of ``n_words`` 64-bit words into segments with balls around their values.
 
-    Balls of radius 1 go to as many segments as the pigeonhole principle asks for.
-    Beyond ``2 * segments - 1`` bits all have one; a pair farther apart is then
-    found if any of its segments differs in one bit at most.
+    radii: of the segments of one cut of all bits, which are then about equally wide;
+    the widest get the smallest. ``more`` further cuts, of shuffled bits, have radius 0.
     """
 
-    def __init__(self, max_bits: int, n_segments: int, n_words: int = 1):
-        if n_segments % n_words:
-            raise ValueError("segments must cut each word alike")
-        n = n_segments // n_words
-        cuts = [64 * k // n for k in range(n + 1)]
-        self.parts = [(w, a, b - a) for w in range(n_words) for a, b in zip(cuts, cuts[1:], strict=False)]
-        spare = min(max(max_bits - n_segments + 1, 0), n_segments)
-        # the longest segments get the balls last: they are the most selective without one
-        order = sorted(range(n_segments), key=lambda k: self.parts[k][2])
-        self.radius = [int(k in order[:spare]) for k in range(n_segments)]
-        self.shift = max(width for _, _, width in self.parts)
-
-    def values(self, fp: np.ndarray) -> Iterator[tuple[int, int, np.ndarray]]:
+    def __init__(self, n_words: int, radii: list[int], more: int = 0):
+        n_bits, n = 64 * n_words, len(radii)
+        if n_bits > 62 * n:
+            raise ValueError("too few segments")
+        cuts = [n_bits * k // n for k in range(n + 1)]
+        order = np.argsort([b - a for a, b in zip(cuts, cuts[1:], strict=False)], kind="stable")
+        self.radius = [0] * n
+        for r, k in zip(sorted(radii, reverse=True), order.tolist(), strict=True):
+            self.radius[k] = r
+        self.parts = [np.arange(a, b) for a, b in zip(cuts, cuts[1:], strict=False)]
+        for k in range(more):
+            shuffled = np.random.default_rng((3, k)).permutation(n_bits)
+            self.parts += [shuffled[a:b] for a, b in zip(cuts, cuts[1:], strict=False)]
+            self.radius += [0] * n
+        self.shift = max(map(len, self.parts))
+        if self.shift + len(self.parts).bit_length() > 62:
+            raise ValueError("keys of more than 62 bits")
+
+    def values(self, fp: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
         """fp: unsigned, a row per word."""
-        for t, (word, low, width) in enumerate(self.parts):
-            yield t, width, (fp[word] >> np.uint64(low)) & np.uint64((1 << width) - 1)
+        bits = np.unpackbits(np.ascontiguousarray(fp.T).view(np.uint8), axis=1, bitorder="little")
+        for t, part in enumerate(self.parts):
+            wide = np.zeros((len(bits), 64), np.uint8)
+            wide[:, : len(part)] = bits[:, part]
+            yield t, np.packbits(wide, axis=1, bitorder="little").view(np.uint64)[:, 0]
 
     def key(self, t: int, value: np.ndarray) -> np.ndarray:
         return ((np.uint64(t) << np.uint64(self.shift)) | value).astype(np.int64)
 
+    def around(self, t: int, value: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Smaller keys within the segment's ball, and which value looks there."""
+        for r in range(1, self.radius[t] + 1):
+            for flips in combinations(range(len(self.parts[t])), r):
+                at = np.flatnonzero((value >> np.uint64(flips[-1])) & np.uint64(1))  # the highest bit goes: a smaller value
+                yield self.key(t, value[at] ^ np.uint64(sum(1 << b for b in flips))), at
+
     def own(self, fp: np.ndarray) -> np.ndarray:
         """The keys under which codes stand: one row per segment."""
-        return np.stack([self.key(t, v) for t, _, v in self.values(fp)])
+        return np.stack([self.key(t, v) for t, v in self.values(fp)])
 
     def looked_up(self, fp: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Keys of the balls around, and which code looks there."""
-        keys, who = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
-        for t, width, v in self.values(fp):
-            for bit in range(width if self.radius[t] else 0):
-                at = np.flatnonzero((v >> np.uint64(bit)) & np.uint64(1))
-                keys.append(self.key(t, v[at] ^ np.uint64(1 << bit)))
-                who.append(at)
-        return np.concatenate(keys), np.concatenate(who)
+        found = [x for t, v in self.values(fp) for x in self.around(t, v)]
+        return tuple(np.concatenate([np.empty(0, np.int64), *(x[k] for x in found)]) for k in (0, 1))
+
+    @property
+    def most_lookups(self) -> int:
+        """Values that look up one key, at most."""
+        return max(sum(comb(len(p), i) for i in range(1, r + 1)) for p, r in zip(self.parts, self.radius, strict=True)) or 1
+
+
+def complete(max_bits: int, n_segments: int, n_words: int = 1) -> Segments:
+    """Segments in which every pair within ``max_bits`` meets."""
+    spare = max(max_bits - n_segments + 1, 0)
+    return Segments(n_words, [spare // n_segments + (k < spare % n_segments) for k in range(n_segments)])
+
+
+def likely(n_codes: int, n_words: int = 4, share: float = 0.152, miss: float = 0.03) -> Segments:
+    """Segments in which a pair whose bits differ with probability ``share`` each
+    fails to meet with probability ``miss`` at most (as if cuts were independent).
+
+    Their width follows the number of codes, so that about 32 share a key by chance
+    at most; narrower segments would make tables quadratic. A quarter of the first
+    cut's have balls of radius 1.
+    """
+    n_bits = 64 * n_words
+    width = max(16, ceil(log2(max(n_codes, 1) / 32))) if n_codes > 32 else 16
+    n = max(n_bits // width, -(-n_bits // 48))
+    width = n_bits / n
+    met0 = (1 - share) ** width
+    met1 = met0 + width * share * (1 - share) ** (width - 1)
+    balls = n // 4
+    first = (1 - met1) ** balls * (1 - met0) ** (n - balls)
+    more = max(0, ceil((log(miss) - log(first)) / (n * log(1 - met0))))
+    return Segments(n_words, [1] * balls + [0] * (n - balls), more)
 
 
 def distance(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -129,8 +187,8 @@ def matches(cell: np.ndarray, block: np.ndarray, asks: np.ndarray, fp: np.ndarra
     """Positions of verified pairs of equal cells, of which one at least isn't
     ``old`` and one stands.
 
-    Rows come sorted by cell, those that ask last. In a cell of two blocks only
-    rows of different blocks are paired (``block`` is -1 elsewhere).
+    Rows come sorted by cell, those that ask last. Of rows with a block (the
+    others have -1) only those of different blocks are paired.
     """
     begin = np.flatnonzero(np.concatenate([[True], cell[1:] != cell[:-1]]))
     size = np.diff(np.append(begin, len(cell)))
@@ -147,14 +205,20 @@ def matches(cell: np.ndarray, block: np.ndarray, asks: np.ndarray, fp: np.ndarra
             yield np.full(len(hit), k), hit
 
 
-def _edges(max_bits: int):
+def _edges(max_bits: int, split: bool):
+    """Edges of rows (key2, node, codes), or (key, cell, block, asks, node, codes) of split keys."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keep: tuple | None = None
         for batch in batches:
             if not batch.num_rows:
                 continue
-            key, lo, hi, block, asks, node, *words = (np.asarray(c) for c in batch.columns)
-            cell = np.stack([key, lo, hi], axis=1)
+            if split:
+                key, part, block, asks, node, *words = (np.asarray(c) for c in batch.columns)
+                cell = np.stack([key, part], axis=1)
+            else:
+                key2, node, *words = (np.asarray(c) for c in batch.columns)
+                cell, asks, block = (key2 >> 1)[:, None], (key2 & 1).astype(bool), np.full(len(key2), -1)
             old = np.zeros(len(node), bool)
             fp = np.stack([w.view(np.uint64) for w in words])
             if keep is not None and (keep[0][-1] == cell[0]).all():
@@ -179,78 +243,145 @@ def _edges(max_bits: int):
     return run
 
 
-def links(nodes: DataFrame, max_bits: int, n_segments: int, block_rows: int, n_words: int = 1) -> DataFrame:
-    """Edges (u, v) between ``node`` values of distinct codes fp0, fp1 ...: for
-    each pair within ``max_bits`` a path of such edges."""
-    seg, fps = Segments(max_bits, n_segments, n_words), names(n_words)
+def split_keys(codes: DataFrame, seg: Segments, fps: list[str], block_rows: int) -> DataFrame:
+    """key, ks and ka: into how many blocks those that stand under a key, and those
+    that look it up, are split; only keys with more of either than ``block_rows``.
 
-    def unsigned(batch: pa.RecordBatch) -> np.ndarray:
-        return np.stack([np.asarray(batch.column(f)).view(np.uint64) for f in fps])
+    More than that can look up a key only if under some value in its ball stand
+    more than its part of them; so lookups are counted from such values alone.
+    """
 
     def own():
-        return lambda batch: pa.RecordBatch.from_arrays([pa.array(seg.own(unsigned(batch)).ravel())], ["key"])
+        return lambda batch: pa.RecordBatch.from_arrays([pa.array(seg.own(_unsigned(batch, fps)).ravel())], ["key"])
+
+    def around():
+        def each(batch: pa.RecordBatch) -> pa.RecordBatch:
+            key, n = np.asarray(batch.column(0)), np.asarray(batch.column(1))
+            table, value = key >> seg.shift, (key & ((1 << seg.shift) - 1)).view(np.uint64)
+            found = []
+            for t in np.unique(table).tolist():
+                at = np.flatnonzero(table == t)
+                found += [(k, n[at[who]]) for k, who in seg.around(t, value[at])]
+            return pa.RecordBatch.from_arrays([pa.array(np.concatenate([np.empty(0, np.int64), *(x[k] for x in found)])) for k in (0, 1)], ["key", "n"])
+
+        return each
+
+    stand = map_batches(codes, own, "key long").groupBy("key").agg(F.count("*").alias("n"))
+    warm = materialize(stand.where(F.col("n") > max(1, block_rows // seg.most_lookups)), "warm")
+    asked = map_batches(warm.select("key", "n"), around, "key long, n long").groupBy("key").agg(F.sum("n").alias("asked")).where(F.col("asked") > block_rows)
+    blocks = lambda c: F.ceil(F.col(c) / block_rows).cast("int")
+    both = warm.join(asked, "key", "full").where(F.greatest("n", "asked") > block_rows)
+    return materialize(both.select("key", F.coalesce(blocks("n"), F.lit(1)).alias("ks"), F.coalesce(blocks("asked") + 1, F.lit(1)).alias("ka")), "hot")
+
+
+def _unsigned(batch: pa.RecordBatch, fps: list[str]) -> np.ndarray:
+    return np.stack([np.asarray(batch.column(f)).view(np.uint64) for f in fps])
+
+
+def links(nodes: DataFrame, seg: Segments, max_bits: int, block_rows: int, n_words: int = 1) -> DataFrame:
+    """Edges (u, v) between ``node`` values of distinct codes fp0, fp1 ...: for
+    each pair within ``max_bits`` that meets a path of such edges."""
+    fps = names(n_words)
 
     def rows():
         def each(batch: pa.RecordBatch) -> pa.RecordBatch:
-            fp, n = unsigned(batch), batch.num_rows
+            fp, n = _unsigned(batch, fps), batch.num_rows
             stand = seg.own(fp)
             asked, who = seg.looked_up(fp)
-            key = np.concatenate([stand.ravel(), asked])
+            key2 = np.concatenate([stand.ravel() << 1, asked << 1 | 1])
             at = np.concatenate([np.tile(np.arange(n), len(stand)), who])
-            columns = [np.asarray(batch.column(c))[at] for c in ("node", *fps)]
-            return pa.RecordBatch.from_arrays([pa.array(key), pa.array(np.arange(len(key)) >= stand.size), *map(pa.array, columns)], ["key", "asks", "node", *fps])
+            return pa.RecordBatch.from_arrays([pa.array(key2), *(pa.array(np.asarray(batch.column(c))[at]) for c in ("node", *fps))], ["key2", "node", *fps])
 
         return each
 
     codes = nodes.select("node", *fps)
-    all_rows = map_batches(codes, rows, "key long, asks boolean, node long, " + ", ".join(f"{f} long" for f in fps))
-    hot = map_batches(codes, own, "key long").groupBy("key").count().where(F.col("count") > block_rows)
-    hot = materialize(hot.select("key", F.ceil(F.col("count") / block_rows).cast("int").alias("k")), "hot")
+    every = map_batches(codes, rows, longs(["key2", "node", *fps]))
+    hot = split_keys(codes, seg, fps, block_rows)
     n_hot = hot.count()
-    light = all_rows.select("key", F.lit(0).alias("lo"), F.lit(0).alias("hi"), F.lit(-1).alias("block"), "asks", "node", *fps)
-    if n_hot:
-        side = F.broadcast(hot) if n_hot <= 100_000 else hot
-        joined = all_rows.join(side, "key", "left").withColumn("b", F.pmod(F.xxhash64("node"), F.coalesce("k", F.lit(1))).cast("int"))
-        each = joined.select("*", F.explode(F.sequence(F.lit(0), F.coalesce("k", F.lit(1)) - 1)).alias("j"))
-        lo, hi = F.when(F.col("asks"), F.col("j")).otherwise(F.least("b", "j")), F.when(F.col("asks"), F.col("j")).otherwise(F.greatest("b", "j"))
-        light = each.select("key", lo.alias("lo"), hi.alias("hi"), F.when(lo == hi, -1).otherwise(F.col("b")).alias("block"), "asks", "node", *fps)
-    small_batches(nodes.sparkSession)
-    spark = nodes.sparkSession
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "16384")
-    dealt = light.repartition("key", "lo", "hi").sortWithinPartitions("key", "lo", "hi", "asks")
-    found = materialize(dealt.mapInArrow(_edges(max_bits), "u long, v long"), "links")
-    small_batches(spark)
-    return found
-
-
-def simhash_components(docs: DataFrame, width: int = 5, max_bits: int = 4, n_segments: int = 3, block_rows: int = 8192, n_words: int = 1) -> DataFrame:
-    """doc_id, fp0 (fp1 ...), fingerprint, component_id of every row of ``docs``."""
+    key = F.shiftright("key2", 1)
+    light = every if not n_hot else every.join(few(hot.select(F.col("key").alias("hot_key")), n_hot), key == F.col("hot_key"), "left_anti")
+    dealt = light.repartition(key).sortWithinPartitions("key2")
+    found = materialize(map_batches(dealt, lambda: _edges(max_bits, False), "u long, v long", whole=True), "links")
+    if not n_hot:
+        return found
+    # under a split key each pair of blocks of those that stand is a cell, and each
+    # pair of a block of those that ask and a block of those that stand
+    own = F.pmod(F.xxhash64("node"), F.when(F.col("asks"), F.col("ka")).otherwise(F.col("ks"))).cast("long")
+    picked = every.join(few(hot.withColumnRenamed("key", "hot_key"), n_hot), key == F.col("hot_key")).select(key.alias("key"), "ks", "ka", (F.col("key2") % 2 == 1).alias("asks"), "node", *fps)
+    picked = picked.withColumn("own", own)
+    pair = lambda a, b: F.shiftleft(a.cast("long"), 31) + b
+    ask_cell = lambda a, s: pair(a, s) + (1 << 62)
+    stands = F.concat(
+        F.transform(F.sequence(F.lit(0), F.col("ks") - 1), lambda j: F.struct(pair(F.least(F.col("own"), j.cast("long")), F.greatest(F.col("own"), j.cast("long"))).alias("cell"), F.when(F.col("own") == j, F.lit(-1)).otherwise(F.col("own")).cast("long").alias("block"))),
+        F.transform(F.sequence(F.lit(0), F.col("ka") - 1), lambda j: F.struct(ask_cell(j, F.col("own")).alias("cell"), F.col("own").alias("block"))),
+    )
+    asking = F.transform(F.sequence(F.lit(0), F.col("ks") - 1), lambda j: F.struct(ask_cell(F.col("own"), j.cast("long")).alias("cell"), F.lit(-1).cast("long").alias("block")))
+    cells = picked.select("key", "asks", "node", *fps, F.explode(F.when(F.col("asks"), asking).otherwise(stands)).alias("c"))
+    cells = cells.select("key", "c.cell", "c.block", "asks", "node", *fps)
+    dealt = cells.repartition("key", "cell").sortWithinPartitions("key", "cell", "asks")
+    return found.unionByName(materialize(map_batches(dealt, lambda: _edges(max_bits, True), "u long, v long", whole=True), "links"))
+
+
+def simhash_components(docs: DataFrame, width: int = 5, max_bits: int = 4, n_segments: int | None = None, block_rows: int = 8192) -> DataFrame:
+    """doc_id, fingerprint and component_id of every row of ``docs``.
+
+    By default there are three segments (21 bits) for up to 2^26 fingerprints, and two beyond.
+    """
+    with scratch(docs.sparkSession) as keep:
+        each = materialize(fingerprints(docs, width), "fp")
+        nodes = materialize(each.groupBy("fp0").agg(F.min("doc_id").alias("least")).withColumn("node", F.col("fp0")), "nodes")
+        if n_segments is None:
+            n_segments = 3 if nodes.count() <= 1 << 26 else 2
+        roots = connected_components(links(nodes, complete(max_bits, n_segments), max_bits, block_rows))
+        rooted = materialize(nodes.join(roots, "node", "left").select("fp0", "least", F.coalesce("root", "node").alias("root")), "roots")
+        low = materialize(rooted.groupBy("root").agg(F.min("least").alias("component_id")), "low")
+        keep(each, rooted, low)
+    named = rooted.join(low, "root").select("fp0", "component_id")
+    return each.join(named, "fp0").select("doc_id", F.lower(F.lpad(F.hex("fp0"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+# --- the filter ---------------------------------------------------------------------------------
+
+
+def text_keys(docs: DataFrame) -> list[Column]:
+    """doc_id and 128 bits of a hash of the text: what tells rows apart."""
+    return [docs["doc_id"].cast("long"), F.xxhash64(docs["text"]), F.xxhash64(F.lit(1), docs["text"])]
+
+
+KEY, SET = ["doc", "t0", "t1"], ["s0", "s1"]
+
+
+def sketches(docs: DataFrame, width: int, n_words: int) -> DataFrame:
+    """KEY, SET (128 bits of a hash of its set of shingles) and code of each row with a doc_id."""
     fps = names(n_words)
-    each = materialize(fingerprints(docs, width, n_words), "fp")
-    nodes = each.groupBy(*fps).agg(F.min("doc_id").alias("least"))
-    nodes = materialize(nodes.withColumn("node", F.col("fp0") if n_words == 1 else F.monotonically_increasing_id()), "nodes")
-    roots = connected_components(links(nodes, max_bits, n_segments, block_rows, n_words))
-    rooted = materialize(nodes.join(roots, "node", "left").select(*fps, "least", F.coalesce("root", "node").alias("root")), "roots")
-    low = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = rooted.join(low, "root").select(*fps, "component_id")
-    hexed = F.concat(*(F.lower(F.lpad(F.hex(f), 16, "0")) for f in fps))
-    return each.join(named, fps).select("doc_id", *fps, hexed.alias("fingerprint"), "component_id")
 
+    def make():
+        def each(batch: pa.RecordBatch) -> pa.RecordBatch:
+            rows = np.zeros((batch.num_rows, 2 + n_words), np.int64)
+            for k, text in enumerate(to_bytes(batch.column(3))):
+                h = np.unique(shingle_hashes(text, width))
+                rows[k, :2] = np.frombuffer(xxhash.xxh128_digest(h.tobytes()), np.int64)
+                rows[k, 2:] = code(h, n_words)
+            return pa.RecordBatch.from_arrays([*batch.columns[:3], *(pa.array(c) for c in rows.T.copy())], [*KEY, *SET, *fps])
+
+        return each
 
-def shingle_sets(members: DataFrame, width: int) -> DataFrame:
-    """component_id, doc_id, digest and hashes (bytes, sorted) of each row's set of shingles."""
-    columns = ["component_id", "doc_id", "digest", "hashes"]
+    named = docs.select(*(c.alias(k) for c, k in zip(text_keys(docs), KEY, strict=True)), docs["text"].alias("text")).where("doc is not null")
+    return map_batches(named, make, longs([*KEY, *SET, *fps]))
+
+
+def shingle_sets(texts: DataFrame, width: int) -> DataFrame:
+    """root, node and hashes (sorted, each once) of rows root, node, text."""
 
     def make():
         def each(batch: pa.RecordBatch) -> pa.RecordBatch:
-            digest = xxhash.xxh64_intdigest
-            sets = [np.unique(np.array([digest(s, SEED) for s in shingles(x, width)], np.uint64)).tobytes() for x in to_bytes(batch.column(2))]
-            digests = pa.array([xxhash.xxh128_digest(s) for s in sets], pa.binary())
-            return pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), digests, pa.array(sets, pa.binary())], columns)
+            sets = [np.unique(shingle_hashes(x, width)).view(np.int64) for x in to_bytes(batch.column(2))]
+            stops = np.cumsum([0, *map(len, sets)]).astype(np.int32)
+            return pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.ListArray.from_arrays(pa.array(stops), pa.array(np.concatenate(sets)))], ["root", "node", "hashes"])
 
         return each
 
-    return map_batches(members.select("component_id", "doc_id", "text"), make, "component_id long, doc_id long, digest binary, hashes binary")
+    return map_batches(texts.select("root", "node", "text"), make, "root long, node long, hashes array<long>")
 
 
 def similar(left: list[np.ndarray], right: list[np.ndarray], least: float) -> tuple[np.ndarray, np.ndarray]:
@@ -265,7 +396,7 @@ def similar(left: list[np.ndarray], right: list[np.ndarray], least: float) -> tu
     shared = np.zeros((len(left), len(right)))
     for low in range(0, int(column.max(initial=-1)) + 1, COLUMNS):
         a, b = np.searchsorted(column, [low, low + COLUMNS])
-        has = np.zeros((len(left) + len(right), COLUMNS), np.float32)
+        has = np.zeros((len(left) + len(right), min(COLUMNS, int(column[-1]) + 1 - low)), np.float32)
         has[row[a:b], column[a:b] - low] = 1
         shared += has[: len(left)] @ has[len(left) :].T
     union = sizes[0][:, None] + sizes[1][None, :] - shared
@@ -273,12 +404,14 @@ def similar(left: list[np.ndarray], right: list[np.ndarray], least: float) -> tu
 
 
 def _verified(least: float):
-    """Edges of the verified pairs in each cell of one block of a component, or of two."""
+    """Edges of the verified pairs in each cell: rows of block ``lo`` against those of ``hi``."""
 
     def cell(rows: list[pa.RecordBatch]) -> tuple[np.ndarray, np.ndarray]:
         t = pa.Table.from_batches(rows).combine_chunks()
         own, node = np.asarray(t.column("own").combine_chunks()), np.asarray(t.column("node").combine_chunks())
-        sets = [np.frombuffer(x, np.uint64) for x in t.column("hashes").to_pylist()]
+        lists = t.column("hashes").combine_chunks()
+        flat, cut = np.asarray(lists.flatten()), np.asarray(lists.offsets) - lists.offsets[0].as_py()
+        sets = [flat[a:b] for a, b in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True)]
         lo, hi = t.column("lo")[0].as_py(), t.column("hi")[0].as_py()
         a, b = np.flatnonzero(own == lo), np.flatnonzero(own == hi)
         if not len(a) or not len(b):
@@ -311,45 +444,87 @@ def _verified(least: float):
     return run
 
 
-def verified_links(nodes: DataFrame, least: float, block: int, block_bytes: int) -> DataFrame:
-    """Edges (u, v) for a path between each pair of a component's nodes whose sets
-    have that Jaccard similarity. Every pair of a component is compared."""
-    size = nodes.groupBy("component_id").agg(F.count("*").alias("n"), F.sum(F.length("hashes")).alias("bytes")).where("n > 1")
-    k = F.ceil(F.greatest(F.col("n") / block, F.col("bytes") / block_bytes)).cast("int")
-    k = F.greatest(k, F.lit(1))
-    joined = nodes.join(size.select("component_id", k.alias("k")), "component_id").withColumn("own", F.pmod(F.xxhash64("node"), F.col("k")).cast("int"))
-    each = joined.select("*", F.explode(F.sequence(F.lit(0), F.col("k") - 1)).alias("j"))
-    cells = each.select("component_id", F.least("own", "j").alias("lo"), F.greatest("own", "j").alias("hi"), "own", "node", "hashes")
-    small_batches(nodes.sparkSession)
-    dealt = cells.repartition("component_id", "lo", "hi").sortWithinPartitions("component_id", "lo", "hi")
-    return materialize(dealt.mapInArrow(_verified(least), "u long, v long"), "verified")
+def _compared(cells: DataFrame, least: float) -> DataFrame:
+    """Edges found in the cells (root, lo, hi) of rows own, node, hashes."""
+    rows = cells.select("root", "lo", "hi", "own", "node", "hashes")
+    dealt = rows.repartition("root", "lo", "hi").sortWithinPartitions("root", "lo", "hi")
+    return materialize(map_batches(dealt, lambda: _verified(least), "u long, v long", whole=True), "verified")
 
 
-def drop_near_copies(docs: DataFrame, least: float = 0.8, block: int = 512, block_bytes: int = 8 << 20, **how) -> DataFrame:
-    """``docs`` with one document of each group, that of the smallest doc_id.
+def verified_links(sets: DataFrame, least: float, block: int, block_bytes: int) -> DataFrame:
+    """Edges (u, v) for a path between each pair of nodes of one root whose sets have
+    that Jaccard similarity.
+
+    What fits a block is compared pair by pair. In a larger component all are
+    compared with some leaders first. Then only pairs of which one isn't in the
+    component's largest class are left, and these are compared, block by block:
+    work grows with the product of a component and what its leaders don't hold together.
+    """
+    size = sets.groupBy("root").agg(F.count("*").alias("n"), F.sum(F.size("hashes")).alias("items"))
+    k = F.greatest(F.ceil(F.greatest(F.col("n") / block, 8 * F.col("items") / block_bytes)), F.lit(1)).cast("int")
+    size = materialize(size.where("n > 1").select("root", "n", k.alias("k")), "sizes")
+    small = sets.join(size.where("k = 1"), "root").select("root", F.lit(0).alias("lo"), F.lit(0).alias("hi"), F.lit(0).alias("own"), "node", "hashes")
+    found = _compared(small, least)
+    large = size.where("k > 1")
+    if large.isEmpty():
+        return found
+    rows = sets.join(large, "root")
+    leads = F.pmod(F.xxhash64("node"), F.col("n")) < LEADERS
+    own = F.when(leads, F.lit(-1)).otherwise(F.pmod(F.xxhash64(F.lit(1), "node"), F.col("k"))).cast("int")
+    rows = rows.withColumn("own", own)
+    blocks = F.when(F.col("own") < 0, F.sequence(F.lit(-1), F.col("k") - 1)).otherwise(F.array("own"))
+    led = rows.select("root", F.lit(-1).alias("lo"), F.explode(blocks).alias("hi"), "own", "node", "hashes")
+    found = found.unionByName(_compared(led, least))
+    classes = connected_components(found)
+    of = rows.select("root", "node", "k").join(classes.withColumnRenamed("root", "class"), "node", "left").select("root", "node", "k", F.coalesce("class", "node").alias("class"))
+    of = materialize(of, "classes")
+    most = of.groupBy("root", "class").count().groupBy("root").agg(F.max_by("class", F.struct("count", "class")).alias("largest"))
+    left = materialize(of.join(most, "root").select("root", "node", "k", (F.col("class") != F.col("largest")).alias("apart")), "left")
+    rest = materialize(left.where("apart").groupBy("root").agg(F.ceil(F.count("*") / block).cast("int").alias("r")), "rest")
+    if rest.isEmpty():
+        return found
+    # blocks -1 to -r of what is apart, 0 to k - 1 of the largest class
+    placed = left.join(rest, "root").select("root", "node", "k", "r", F.when(F.col("apart"), -1 - F.pmod(F.xxhash64("node"), F.col("r"))).otherwise(F.pmod(F.xxhash64(F.lit(1), "node"), F.col("k"))).cast("int").alias("own"))
+    other = F.when(F.col("own") < 0, F.sequence(-F.col("r"), F.col("k") - 1)).otherwise(F.sequence(-F.col("r"), F.lit(-1)))
+    cells = placed.select("root", "node", "own", F.explode(other).alias("j")).select("root", "node", "own", F.least("own", "j").alias("lo"), F.greatest("own", "j").alias("hi"))
+    return found.unionByName(_compared(cells.join(sets, ["root", "node"]), least))
+
+
+def drop_near_copies(docs: DataFrame, least: float = 0.8, width: int = 5, n_words: int = 4, max_bits: int = 64, block: int = 512, block_bytes: int = 8 << 20, block_rows: int = 8192) -> DataFrame:
+    """``docs`` with one row of each group, that of the smallest doc_id (of several
+    texts of one doc_id in a group any one; of equal rows one).
 
     Documents are linked if their sets of shingles have a Jaccard similarity of
-    ``least``. Codes only find who is compared: all different sets of a component
-    of codes are, in blocks, exactly. By default codes have 256 bits of five-word
-    shingles, of which 64 may differ, in 16 segments of 16 bits: a pair at 0.8
-    differs in about 39 bits, and each segment meets it with a chance of 0.28.
-    doc_id names a document: of rows that repeat one, one stays. A row without
-    doc_id can't be told from others by name; it stays.
+    ``least``. Codes of 256 bits only find who is compared, in ``likely`` segments
+    whose radii make all pairs meet that differ in few bits, and others with
+    a probability that the README states; the sets of what a component of codes holds are
+    compared exactly. Texts without words are one group. A doc_id with texts in
+    several groups keeps a row in each. A row without doc_id can't be told from
+    others by name; it stays. Texts are moved only where they are compared, or
+    where equal rows repeat; columns are handed on as they are, whatever their names.
     """
-    how = {"width": 5, "n_words": 4, "max_bits": 64, "n_segments": 16} | how
-    coded = materialize(simhash_components(docs, **how).where("doc_id is not null").select("doc_id", "component_id").distinct(), "coded")
-    groups = coded.groupBy("component_id").count().where("count > 1").select("component_id")
-    members = coded.join(groups, "component_id")
-    texts = docs.select(docs["doc_id"].cast("long").alias("doc_id"), "text").join(members, "doc_id")
-    sets = materialize(shingle_sets(texts, how["width"]), "sets")
-    nodes = sets.groupBy("component_id", "digest").agg(F.first("hashes").alias("hashes"), F.min("doc_id").alias("first"))
-    nodes = materialize(nodes.withColumn("node", F.monotonically_increasing_id()), "nodes")
-    roots = materialize(connected_components(verified_links(nodes, least, block, block_bytes)), "roots")
-    rooted = nodes.select("component_id", "digest", "node", "first").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    low = rooted.groupBy("root").agg(F.min("first").alias("low"))
-    named = sets.select("component_id", "digest", "doc_id").join(rooted.join(low, "root").select("component_id", "digest", "low"), ["component_id", "digest"])
-    copies = named.groupBy("doc_id").agg(F.max((F.col("doc_id") == F.col("low")).cast("int")).alias("stays")).where("stays = 0").select("doc_id")
-    nth = "_".join(["row", *docs.columns])  # a name that no column has
-    row = F.row_number().over(Window.partitionBy("doc_id").orderBy("doc_id"))
-    kept = docs.where("doc_id is not null").join(copies, "doc_id", "left_anti").withColumn(nth, row).where(F.col(nth) == 1)
-    return kept.select(*docs.columns).unionByName(docs.where("doc_id is null"))
+    fps = names(n_words)
+    on = lambda keys: [a.eqNullSafe(keys[b]) for a, b in zip(text_keys(docs), KEY, strict=True)]
+    with scratch(docs.sparkSession) as keep:
+        each = materialize(sketches(docs, width, n_words).groupBy(*KEY).agg(F.count("*").alias("many"), *(F.first(c).alias(c) for c in (*SET, *fps))), "sketches")
+        nodes = each.groupBy(*SET).agg(F.min(F.struct(*KEY)).alias("first"), *(F.first(f).alias(f) for f in fps))
+        nodes = materialize(nodes.select(F.monotonically_increasing_id().alias("node"), "first", *fps), "nodes")
+        roots = connected_components(links(nodes, likely(nodes.count(), n_words), max_bits, block_rows, n_words))
+        members = materialize(roots.join(nodes.select("node", "first.*"), "node"), "members")
+        texts = docs.join(few(members), on(members)).select(members["root"], members["node"], docs["text"])
+        sets = materialize(shingle_sets(texts, width), "sets")
+        repeated = not each.where("many > 1").isEmpty()
+        if repeated:
+            sets = materialize(sets.dropDuplicates(["node"]), "sets")
+        classes = connected_components(verified_links(sets, least, block, block_bytes))
+        held = nodes.select("node", "first").join(classes, "node", "left")
+        stay = materialize(held.groupBy(F.coalesce("root", "node").alias("class")).agg(F.min("first").alias("first")).select("first.*"), "stay")
+        again = materialize(each.where("many > 1").select(*KEY).join(stay, KEY, "left_semi"), "again")
+        gone = materialize(each.select(*KEY).join(stay, KEY, "left_anti").unionByName(again), "gone")
+        keep(again, gone)
+    kept = docs.join(few(gone), on(gone), "left_anti")
+    if not repeated:
+        return kept
+    once = docs.join(few(again), on(again), "left_semi")
+    once = once.groupBy(*text_keys(once)).agg(F.first(F.struct(*(once[c] for c in docs.columns))).alias("row"))
+    return kept.unionByName(once.select("row.*"))
