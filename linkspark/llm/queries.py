@@ -23,7 +23,7 @@ def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return simhash_components(table(spark, sf_dir, "documents"), width=4, max_bits=4).drop("fp0")
+    return simhash_components(table(spark, sf_dir, "documents"), width=4, max_bits=4)
 
 
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -41,7 +41,8 @@ def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = warc_captures(table(spark, sf_dir, "pages"))
     digest = F.coalesce("capture.payload_digest", "capture.digest").alias("payload_digest")
-    return c.select("capture.page_id", "capture.payload_bytes", digest, F.col("capture.kind").alias("record_type"), F.col("capture.refers_page").alias("refers_to"))
+    sides = [F.size(k).cast("long").alias(n) for k, n in (("request", "n_requests"), ("metadata", "n_metadata"))]
+    return c.select("capture.page_id", "capture.payload_bytes", digest, F.col("capture.kind").alias("record_type"), F.col("capture.refers_page").alias("refers_to"), *sides)
 
 
 def op5_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -96,7 +97,8 @@ WITH p AS (
 f AS (SELECT *, min(page_id) OVER (PARTITION BY payload_digest) AS first_id FROM p)
 SELECT page_id, payload_bytes, payload_digest,
   CASE WHEN payload_bytes >= 100 AND page_id <> first_id THEN 'revisit' ELSE 'response' END AS record_type,
-  CASE WHEN payload_bytes >= 100 AND page_id <> first_id THEN first_id END AS refers_to
+  CASE WHEN payload_bytes >= 100 AND page_id <> first_id THEN first_id END AS refers_to,
+  CAST(1 AS BIGINT) AS n_requests, CAST(1 AS BIGINT) AS n_metadata
 FROM f""",
     # whole tables: at 10 labels the pairs of equal labels are few enough at sf0.01
     "op5_embedding_near_dedup": """
