@@ -1,47 +1,47 @@
 """Operator 9, quality classifier: supervised subword embeddings.
 
-A word's features are the hashed word and its hashed character n-grams, word
-ends marked; where a word repeats the one before it, a mark of its own counts
-too. Each feature has a learned vector; a document is the mean of the vectors of
-all its features, and a softmax layer gives the probability of the classes.
-Vectors and layer are trained together by numpy stochastic gradient descent on a
-bounded sample. As the mean is linear, scoring keeps for each feature the
-difference of its two logits: the same sum, in another order.
-
-Null and empty texts have no features; they get score 0 (nothing to keep), as do
-all documents where labels of both classes are lacking; the filter ``keep_good``
-then has nothing to tell documents apart by, and keeps all.
+A document's features are its hashed words, their hashed character n-grams, word
+ends marked, and its hashed pairs of adjacent words. Each feature has a learned
+vector; a document is the mean of the vectors of all its features (a pair counts
+``PAIR_TIMES``, about as often as a word has features), and a softmax layer gives
+the probability of the classes. Vectors and layer are trained together by numpy
+stochastic gradient descent on a bounded sample. As the mean is linear, scoring
+keeps for each feature the difference of its two logits: the same sum, in another order.
+
+Null texts and texts without words have no features; they get score 0 (nothing to
+keep), as do all documents where labels of both classes are lacking; the filter
+``keep_good`` then has nothing to tell documents apart by, and keeps all. Long texts
+are scored whole, and can be in the sample. Ties don't occur: a score is compared
+with a threshold. Repeated rows get equal results. Columns besides doc_id and text
+aren't looked at, whatever their names; the filter hands them on. An empty table
+gives no rows.
 """
 
 from __future__ import annotations
 
-from collections import Counter
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import learn_side, map_batches, to_bytes
+from .common import IdStore, learn_side, map_batches, words_of
 from .learning import labelled_sample
 
 BUCKETS = 1 << 16
 NGRAMS = (3, 4)
 THRESHOLD = 0.3
-MEMORY = 250_000  # words a task remembers from one batch to the next
-AGAIN, AGAIN_TIMES = 0, 8  # the bucket of "same word as before"; it counts as often as a word has features
-
+PAIR_TIMES = 8
 
 MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 
 
 def _buckets(h: np.ndarray) -> np.ndarray:
     h = (h ^ (h >> np.uint64(32))) * MULTIPLIER
-    return 1 + ((h ^ (h >> np.uint64(29))) % np.uint64(BUCKETS - 1)).astype(np.int64)
+    return ((h ^ (h >> np.uint64(29))) % np.uint64(BUCKETS)).astype(np.int64)
 
 
-def word_features(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """The features of all words at once, and the word that each belongs to."""
+def word_features(words: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The features of all words at once, the word that each belongs to, and each word's hash."""
     marked = ["<" + w.decode("utf-8", "replace") + ">" for w in words]
     size = np.array([len(w) for w in marked], np.int64)
     c = np.frombuffer("".join(marked).encode("utf-32-le", "surrogatepass"), "<u4").astype(np.uint64) + np.uint64(1)
@@ -49,7 +49,8 @@ def word_features(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     word = np.repeat(np.arange(len(words)), size)
     place = np.arange(len(c)) - begin[word]
     power = np.cumprod(np.full(int(size.max(initial=1)), MULTIPLIER))
-    ids, owner = [_buckets(np.add.reduceat(c * power[place], begin) if len(c) else c)], [np.arange(len(words))]
+    whole = np.add.reduceat(c * power[place], begin) if len(c) else c
+    ids, owner = [_buckets(whole)], [np.arange(len(words))]
     for n in NGRAMS:
         at = np.flatnonzero(place + n <= size[word])
         h = np.full(len(at), np.uint64(n))
@@ -57,23 +58,24 @@ def word_features(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
             h = h * MULTIPLIER + c[at + k]
         ids.append(_buckets(h))
         owner.append(word[at])
-    return np.concatenate(ids), np.concatenate(owner)
+    return np.concatenate(ids), np.concatenate(owner), whole
 
 
-def repeats(words: list[bytes]) -> int:
-    return AGAIN_TIMES * sum(map(bytes.__eq__, words[1:], words[:-1]))
+def pair_buckets(left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """Features of adjacent words, by the hashes of both."""
+    return _buckets((left ^ (left >> np.uint64(31))) * MULTIPLIER + right)
 
 
-def doc_features(text: bytes) -> tuple[np.ndarray, np.ndarray]:
+def doc_features(text: str) -> tuple[np.ndarray, np.ndarray]:
     """Distinct features and their shares of all."""
-    words = text.split()
-    if not words:
+    words, at, _ = words_of(pa.array([text], pa.string()))
+    if not len(at):
         return np.empty(0, np.int64), np.empty(0, np.float32)
-    count = Counter(words)
-    ids, word = word_features(list(count))
-    times = np.fromiter(count.values(), np.float64, len(count))[word]
-    found, at = np.unique(np.append(ids, AGAIN), return_inverse=True)
-    n = np.bincount(at, np.append(times, repeats(words)))
+    ids, word, whole = word_features(words)
+    pairs = pair_buckets(whole[at[:-1]], whole[at[1:]])
+    found, where = np.unique(np.concatenate([ids, pairs]), return_inverse=True)
+    n = np.bincount(where, np.append(np.bincount(at, minlength=len(words))[word], np.full(len(pairs), PAIR_TIMES)))
+    found, n = found[n > 0], n[n > 0]
     return found, (n / n.sum()).astype(np.float32)
 
 
@@ -109,46 +111,46 @@ class Subwords:
         return (self.e @ (self.out[1] - self.out[0])).astype(np.float64), float(self.bias[1] - self.bias[0])
 
 
-def train(docs: DataFrame, labels: DataFrame, modulus: int = 5, held: int = 0, per_class: tuple[int, int] = (2000, 2000), max_chars: int = 10_000, dim: int = 16, updates: int = 24_000, step: float = 0.1, seed: int = 9):
+def train(docs: DataFrame, labels: DataFrame, modulus: int = 5, held: int = 0, per_class: tuple[int, int] = (4000, 4000), dim: int = 16, updates: int = 48_000, step: float = 0.5, seed: int = 9):
     """The features' logits and the bias, from at most ``per_class`` labelled rows (bad, good).
 
     The steps are as many at any size: few rows are gone through more often.
     """
-    rows = labelled_sample(docs, labels, "quality", modulus, held, per_class, max_chars)
+    rows = labelled_sample(docs, labels, "quality", modulus, held, per_class)
     y = np.array([r[2] for r in rows], np.int64)
     if len(set(y.tolist())) < 2:
         return None
-    ready = [doc_features(text.encode("utf-8", "replace")) for _, text, _ in rows]
+    ready = [doc_features(text) for _, text, _ in rows]
     model = Subwords(dim, seed)
     model.fit(ready, y, max(1, updates // len(ready)), step, seed)
     return model.logits()
 
 
 def _scorer(model):
-    def make():
-        memory: dict[bytes, complex] = {}  # word: the sum of its features' logits, and how many they are
+    """Makes a function of texts: their scores."""
 
-        def learn(words: set[bytes]) -> None:
-            if len(memory) > MEMORY:
-                memory.clear()
-            new = [w for w in words if w not in memory]
+    def make():
+        store = IdStore(total=np.float64, n=np.int64, whole=np.uint64)
+
+        def score(texts: pa.Array) -> np.ndarray:
+            if model is None:
+                return np.zeros(len(texts))
+            logits, bias = model
+            store.trim()
+            words, at, text = words_of(texts)
+            slots, new = store.of(words)
             if new:
-                ids, word = word_features(new)
-                sums = np.bincount(word, model[0][ids], len(new)) + 1j * np.bincount(word, minlength=len(new))
-                memory.update(zip(new, sums.tolist(), strict=True))
-
-        def one(text: bytes) -> float:
-            words = text.split()
-            if not words or model is None:
-                return 0.0
-            total, again = sum(map(memory.__getitem__, words)), repeats(words)
-            m = (total.real + again * model[0][AGAIN]) / (total.imag + again) + model[1]
-            return float(1 / (1 + np.exp(-np.clip(m, -500, 500))))
-
-        def score(texts: list[bytes]) -> np.ndarray:
-            if model is not None:
-                learn(set().union(*(t.split() for t in texts)))
-            return np.array([one(t) for t in texts], float)
+                ids, word, whole = word_features(new)
+                store.put(store.of(new)[0], np.zeros(len(new), np.int64), np.empty(0, np.uint32), total=np.bincount(word, logits[ids], len(new)), n=np.bincount(word, minlength=len(new)), whole=whole)
+            store.used(slots, np.bincount(at, minlength=len(slots)))
+            place = slots[at]
+            total, n = (np.bincount(text, store.columns[k][place], len(texts)) for k in ("total", "n"))
+            next_ = np.flatnonzero(text[1:] == text[:-1])
+            whole = store.columns["whole"][place]
+            total += PAIR_TIMES * np.bincount(text[next_], logits[pair_buckets(whole[next_], whole[next_ + 1])], len(texts))
+            n += PAIR_TIMES * np.bincount(text[next_], minlength=len(texts))
+            margin = total / np.maximum(n, 1) + bias
+            return np.where(n > 0, 1 / (1 + np.exp(-np.clip(margin, -500, 500))), 0.0)
 
         return score
 
@@ -157,13 +159,13 @@ def _scorer(model):
 
 def quality_classifier(docs: DataFrame, labels: DataFrame, modulus: int = 5, held: int = 0, **how) -> DataFrame:
     """doc_id, held_out, score and predicted (1: good) of every row of ``docs``."""
-    make_score = _scorer(train(docs, labels, modulus, held, **how))
+    shared = docs.sparkSession.sparkContext.broadcast(train(docs, labels, modulus, held, **how))  # a number a bucket
 
     def make():
-        score = make_score()
+        score = _scorer(shared.value)()
 
         def each(batch: pa.RecordBatch) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([batch.column(0), pa.array(score(to_bytes(batch.column(1))), pa.float64())], ["doc_id", "score"])
+            return pa.RecordBatch.from_arrays([batch.column(0), pa.array(score(batch.column(1)), pa.float64())], ["doc_id", "score"])
 
         return each
 
@@ -177,11 +179,11 @@ def keep_good(docs: DataFrame, labels: DataFrame, modulus: int = 5, held: int =
     model = train(docs, labels, modulus, held, **how)
     if model is None:
         return docs
-    make_score = _scorer(model)
+    shared = docs.sparkSession.sparkContext.broadcast(model)
     text = docs.columns.index("text")
 
     def make():
-        score = make_score()
-        return lambda batch: batch.filter(pa.array(score(to_bytes(batch.column(text))) >= THRESHOLD))
+        score = _scorer(shared.value)()
+        return lambda batch: batch.filter(pa.array(score(batch.column(text).cast(pa.string())) >= THRESHOLD))
 
     return map_batches(docs, make, docs.schema)
