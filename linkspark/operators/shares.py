@@ -18,3 +18,15 @@ def reconstruct(one: DataFrame, two: DataFrame, *key: str, bits: int = 64) -> Da
     """The shared values modulo 2^bits."""
     both = one.withColumnRenamed("share", "s1").join(two.withColumnRenamed("share", "s2"), list(key))
     return both.select(*key, ring.narrow(ring.add(F.col("s1"), F.col("s2")), bits).alias("value"))
+
+
+def split_xor(rows: DataFrame, value: str, *key: str, seed: int = 7) -> tuple[DataFrame, DataFrame]:
+    """The same with shares whose XOR is the value."""
+    a, b = ring.xor_share(F.col(value), *map(F.col, key), seed=seed)
+    return rows.select(*key, a.alias("share")), rows.select(*key, b.alias("share"))
+
+
+def reconstruct_xor(one: DataFrame, two: DataFrame, *key: str, bits: int = 64) -> DataFrame:
+    """The values of XOR shares, of which the lowest ``bits`` count."""
+    both = one.withColumnRenamed("share", "s1").join(two.withColumnRenamed("share", "s2"), list(key))
+    return both.select(*key, ring.narrow(F.col("s1").bitwiseXOR(F.col("s2")), bits).alias("value"))

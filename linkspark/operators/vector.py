@@ -24,7 +24,17 @@ def to_text(a: Column) -> Column:
     return F.concat(F.lit("["), F.array_join(F.transform(a, lambda x: x.cast("string")), ","), F.lit("]"))
 
 
-def compare_all(x: DataFrame, y: DataFrame) -> DataFrame:
-    """(i, j, ge): whether x_i >= y_j, for all pairs. y is the smaller side."""
+def sum_vectors(rows: DataFrame, vector: str, *key: str) -> DataFrame:
+    """(key, i, v): the elementwise sum of array columns, per ``key``. Elements are
+    summed where they are read; only sums are shuffled."""
+    cells = rows.select(*key, F.posexplode(F.col(vector).cast("array<double>")).alias("i", "x"))
+    return cells.groupBy(*key, F.col("i").cast("long").alias("i")).agg(F.sum("x").alias("v"))
+
+
+def compare_all(x: DataFrame, y: DataFrame, broadcast_rows: int = 100_000) -> DataFrame:
+    """(i, j, ge): whether x_i >= y_j, for all pairs, as many rows as that. y is the
+    smaller side, broadcast if it is counted to be small."""
     a, b = x.select("i", F.col("v").alias("xv")), y.select(F.col("i").alias("j"), F.col("v").alias("yv"))
+    if b.limit(broadcast_rows + 1).count() <= broadcast_rows:
+        b = F.broadcast(b)
     return a.crossJoin(b).select("i", "j", (F.col("xv") >= F.col("yv")).cast("long").alias("ge"))

@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .functions import elementwise as W
 from .functions import encode as E
 from .functions import numeric as N
 from .functions import ring as R
@@ -16,8 +17,10 @@ from .operators import matrix as M
 from .operators import shares as S
 from .operators import vector as V
 from .sources import generators as G
+from .sources import matrices as X
 from .sources import records as T
 from .spec import PEOPLE
+from .storage import new_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -137,7 +140,8 @@ HIT = "den > 0 AND num > ((den * 204) >> 8)"
 @query(CROSS_SQL + BEST_SQL + f"""
 SELECT x.idx AS x_idx, x.rec_id, CAST(coalesce({HIT}, false) AS INT) AS is_match,
   CASE WHEN {HIT} THEN y_idx ELSE 0 END AS match_idx, CASE WHEN {HIT} THEN y_idx END AS match_idx_or_null,
-  CASE WHEN {HIT} THEN num END AS num, CASE WHEN {HIT} THEN den END AS den
+  CASE WHEN {HIT} THEN num END AS num, CASE WHEN {HIT} THEN den END AS den,
+  CASE WHEN {HIT} THEN CAST(num AS DOUBLE) / den END AS score
 FROM x LEFT JOIN best ON x.idx = best.x_idx""")
 def link_all(spark, d):
     """The flagship: for every x the best y above the threshold (pruned plan)."""
@@ -158,8 +162,7 @@ def link_all_prefixes(spark, d):
     x, y = people_sides(spark, d)
     scores = candidate_scores(x, y, PEOPLE, broadcast_rows=0)
     found = L.threshold_flag(L.argmax_group(scores), PEOPLE).where("is_match = 1")
-    out = x.select(F.col("idx").alias("x_idx"), "rec_id").join(found, "x_idx", "left")
-    return out.select("x_idx", "rec_id", F.coalesce("is_match", F.lit(0)).alias("is_match"), F.coalesce("match_idx", F.lit(0)).alias("match_idx"), "match_idx_or_null", "num", "den")
+    return L.all_flags(x, found, PEOPLE)
 
 
 @query(CROSS_SQL + BEST_SQL + f"""
@@ -337,9 +340,11 @@ def scan_limit(spark, d):
     return T.scan_limit(table(spark, d, "documents").select("doc_id", "n_chars"), 100, "doc_id")
 
 
-@query("SELECT o_orderkey, row_number() OVER (ORDER BY o_orderkey) - 1 AS idx FROM orders")
+@query("SELECT doc_id, n_chars, source, md5(coalesce(text, '')) AS text_md5, row_number() OVER (ORDER BY doc_id) - 1 AS idx FROM documents")
 def row_index(spark, d):
-    return T.row_index(table(spark, d, "orders").select("o_orderkey"), "o_orderkey")
+    """Positions of whole rows, texts included."""
+    rows = T.row_index(table(spark, d, "documents").select("doc_id", "n_chars", "source", "text"), "doc_id")
+    return rows.select("doc_id", "n_chars", "source", F.md5(F.coalesce("text", F.lit("")).cast("binary")).alias("text_md5"), "idx")
 
 
 @query("SELECT o_orderstatus, count(*) AS n FROM orders GROUP BY ALL UNION ALL SELECT 'all', count(*) FROM orders")
@@ -350,7 +355,52 @@ def count_rows(spark, d):
 
 @query("WITH i AS (SELECT o_orderkey, row_number() OVER (ORDER BY o_orderkey) - 1 AS idx FROM orders) SELECT * FROM i WHERE idx BETWEEN 50 AND 149")
 def slice_rows(spark, d):
-    return T.slice_rows(row_index(spark, d), 50, 100)
+    return T.slice_rows(T.row_index(table(spark, d, "orders").select("o_orderkey"), "o_orderkey"), 50, 100)
+
+
+def _text_file(lines, column: str, *order: str) -> str:
+    """Writes a column's texts as the lines of one file, in an order; the file's folder."""
+    path = new_path(lines.sparkSession, "lines")
+    lines.orderBy(*order).select(column).coalesce(1).write.text(path)
+    return path
+
+
+@query(f"""WITH {PEOPLE_SQL}
+SELECT CAST(rec_id AS VARCHAR) AS rec_id, first_name, surname, birth_name, city, postcode, birth_day, birth_month, birth_year,
+  row_number() OVER (ORDER BY rec_id) - 1 AS idx FROM people""")
+def read_records(spark, d):
+    """Record files are written from ``people``, in the order of rec_id, and read back."""
+    rows = people(spark, d).drop("idx").withColumn("birth_year", F.coalesce("birth_year", F.lit("")))
+    path = new_path(spark, "records")
+    rows = rows.repartitionByRange(4, "rec_id").sortWithinPartitions("rec_id")
+    rows.select(F.lit(1).alias("extra"), *(F.col(c).alias(c.replace("_", "-")) for c in rows.columns)).write.option("header", True).csv(path)
+    return T.read_records(spark, path, position="idx")
+
+
+@query("""WITH i AS (SELECT row_number() OVER (ORDER BY p_partkey) - 1 AS i, p_retailprice AS v FROM part)
+SELECT i // 10 AS r, i % 10 AS c, CAST(CAST(v AS FLOAT) AS DOUBLE) AS v FROM i""")
+def read_matrix(spark, d):
+    """Lines of ten prices, written and read back as a matrix."""
+    rows = T.row_index(table(spark, d, "part").select("p_partkey", "p_retailprice"), "p_partkey", name="i")
+    line = rows.groupBy(F.floor(F.col("i") / 10).alias("r")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("i", "p_retailprice"))), lambda x: x["p_retailprice"].cast("string")), ",").alias("line"))
+    return X.read_matrix(spark, _text_file(line, "line", "r"))
+
+
+@query("""WITH i AS (SELECT row_number() OVER (ORDER BY p_partkey) - 1 AS i, p_retailprice AS v FROM part)
+SELECT i, CAST(CAST(v AS FLOAT) AS DOUBLE) AS v FROM i WHERE i < 21""")
+def read_vector(spark, d):
+    """Twenty numbers and the bias, of a line that holds all prices."""
+    line = table(spark, d, "part").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("p_partkey", "p_retailprice"))), lambda x: x["p_retailprice"].cast("string")), ",").alias("line"))
+    return X.read_vector(spark, _text_file(line, "line", "line"), 20)
+
+
+@query(f"""WITH s AS (SELECT s_suppkey, row_number() OVER (ORDER BY s_suppkey) - 1 AS k FROM supplier),
+codes AS (SELECT k, range(1, 2 + CAST(s_suppkey % 20 AS BIGINT)) AS c FROM s)
+SELECT list_aggregate(list_transform(c, lambda x: substr('{E.VALID_LETTERS}', x, 1)), 'string_agg', '') AS sequence FROM codes WHERE k = 3""")
+def recover_sequence(spark, d):
+    """The fourth of lines that count from 1 and end with a 0."""
+    code = F.array_join(F.transform(F.sequence(F.lit(1), (F.col("s_suppkey") % 20 + 1).cast("int")), lambda x: x.cast("string")), ",")
+    return X.recover_sequence(spark, _text_file(table(spark, d, "supplier").select("s_suppkey", F.concat(code, F.lit(",0,7")).alias("line")), "line", "s_suppkey"), 3)
 
 
 @query("SELECT c_custkey, CAST(k AS INT) AS copy FROM customer, range(3) AS r(k)")
@@ -376,28 +426,28 @@ def vec_add(spark, d):
 
 @query("SELECT label, CAST(i - 1 AS BIGINT) AS i, round(sum(CAST(embedding[i] AS DOUBLE)), 6) + 0.0 AS v FROM embeddings, range(1, 65) AS r(i) GROUP BY ALL")
 def vec_sum_many(spark, d):
-    rows = table(spark, d, "embeddings").select("label", F.posexplode(F.col("embedding").cast("array<double>")).alias("i", "x"))
-    return rows.groupBy("label", F.col("i").cast("long").alias("i")).agg((F.round(F.sum("x"), 6) + 0.0).alias("v"))
+    return V.sum_vectors(table(spark, d, "embeddings"), "embedding", "label").withColumn("v", F.round("v", 6) + 0.0)
 
 
 @query(f"SELECT {_LINE}, CAST(l_quantity AS BIGINT) * CAST(trunc(l_extendedprice) AS BIGINT) AS product, round(l_extendedprice * l_discount, 6) AS v FROM lineitem")
 def vec_mul(spark, d):
-    return _lines(spark, d, product="cast(l_quantity as bigint) * cast(l_extendedprice as bigint)", v="round(l_extendedprice * l_discount, 6)")
+    whole = W.multiply(F.col("l_quantity").cast("long"), F.col("l_extendedprice").cast("long"))
+    return _lines(spark, d, product=whole, v=F.round(W.multiply(F.col("l_extendedprice"), F.col("l_discount")), 6))
 
 
 @query(f"SELECT {_LINE}, round(exp(l_discount * 10 - l_tax), 6) AS v FROM lineitem")
 def vec_exp(spark, d):
-    return _lines(spark, d, v="round(exp(l_discount * 10 - l_tax), 6)")
+    return _lines(spark, d, v=F.round(W.exp(F.col("l_discount") * 10 - F.col("l_tax")), 6))
 
 
 @query(f"SELECT {_LINE}, CASE WHEN l_discount <> 0 THEN round(l_extendedprice / l_discount, 4) END AS v FROM lineitem")
 def vec_divide(spark, d):
-    return _lines(spark, d, v="round(try_divide(l_extendedprice, l_discount), 4)")
+    return _lines(spark, d, v=F.round(W.divide(F.col("l_extendedprice"), F.col("l_discount")), 4))
 
 
 @query("SELECT vec_id, CAST(i - 1 AS BIGINT) AS i, CAST(list_sort(embedding)[i] AS DOUBLE) AS v FROM embeddings, range(1, 65) AS r(i)")
 def vec_sort(spark, d):
-    rows = table(spark, d, "embeddings").select("vec_id", F.posexplode(F.array_sort("embedding")).alias("i", "v"))
+    rows = table(spark, d, "embeddings").select("vec_id", F.posexplode(W.sort_elements(F.col("embedding"))).alias("i", "v"))
     return rows.select("vec_id", F.col("i").cast("long").alias("i"), F.col("v").cast("double").alias("v"))
 
 
@@ -421,7 +471,7 @@ def normalise(spark, d):
 
 @query(f"SELECT {_LINE}, CAST(l_partkey > l_suppkey AS BIGINT) AS gt FROM lineitem")
 def compare_gt(spark, d):
-    return _lines(spark, d, gt="cast(l_partkey > l_suppkey as bigint)")
+    return _lines(spark, d, gt=W.greater(F.col("l_partkey"), F.col("l_suppkey")))
 
 
 @query("SELECT s_suppkey AS i, CAST(n_nationkey AS BIGINT) AS j, CAST(s_nationkey >= n_nationkey AS BIGINT) AS ge FROM supplier, nation")
@@ -432,7 +482,7 @@ def compare_all(spark, d):
 
 @query(f"SELECT {_LINE}, CAST(l_quantity = l_linenumber AS BIGINT) AS eq FROM lineitem")
 def equals(spark, d):
-    return _lines(spark, d, eq="cast(l_quantity = l_linenumber as bigint)")
+    return _lines(spark, d, eq=W.equals(F.col("l_quantity"), F.col("l_linenumber")))
 
 
 @query("SELECT c_custkey, CAST(c_acctbal < 0 AS BIGINT) AS negative FROM customer")
@@ -452,7 +502,7 @@ def multiplex_narrow(spark, d):
 
 @query(f"SELECT {_LINE}, CAST(l_quantity > 25 AND l_discount > 0.05 AS BIGINT) AS both FROM lineitem")
 def arith_and(spark, d):
-    return _lines(spark, d, both="cast(l_quantity > 25 and l_discount > 0.05 as bigint)")
+    return _lines(spark, d, both=W.both(F.col("l_quantity") > 25, F.col("l_discount") > 0.05))
 
 
 @query("""SELECT o_custkey, '[' || string_agg(CAST(o_orderkey AS VARCHAR), ',' ORDER BY o_orderkey) || ']' AS v FROM orders GROUP BY o_custkey""")
@@ -544,7 +594,7 @@ def fx_truncate(spark, d):
 
 @query("SELECT o_orderkey, ((o_custkey - o_orderkey) % 97 + 97) % 97 AS v FROM orders")
 def pos_mod(spark, d):
-    return table(spark, d, "orders").selectExpr("o_orderkey", "pmod(o_custkey - o_orderkey, 97L) as v")
+    return table(spark, d, "orders").select("o_orderkey", W.positive_mod(F.col("o_custkey") - F.col("o_orderkey"), 97).alias("v"))
 
 
 @query("SELECT o_orderkey, (o_orderkey * 104729 + 8191) % 1048575 AS v FROM orders")
@@ -669,14 +719,26 @@ def xor_share(spark, d):
     return table(spark, d, "orders").select("o_orderkey", a.bitwiseXOR(b).alias("total"))
 
 
-@query("SELECT o_orderkey, xor(o_orderkey, o_custkey) AS value FROM orders")
+@query("SELECT o_orderkey, o_custkey AS value, o_custkey & 255 AS low FROM orders")
 def xor_reconstruct(spark, d):
-    return table(spark, d, "orders").select("o_orderkey", F.col("o_orderkey").bitwiseXOR(F.col("o_custkey")).alias("value"))
+    """Two tables of XOR shares, opened as 64 bits and as bytes."""
+    both = S.split_xor(table(spark, d, "orders"), "o_custkey", "o_orderkey")
+    return S.reconstruct_xor(*both, "o_orderkey").join(S.reconstruct_xor(*both, "o_orderkey", bits=8).withColumnRenamed("value", "low"), "o_orderkey")
 
 
 @query("SELECT o_orderkey, o_orderkey & o_custkey AS value FROM orders")
 def bool_and(spark, d):
-    return table(spark, d, "orders").select("o_orderkey", F.col("o_orderkey").bitwiseAND(F.col("o_custkey")).alias("value"))
+    return table(spark, d, "orders").select("o_orderkey", W.bits_and(F.col("o_orderkey"), F.col("o_custkey")).alias("value"))
+
+
+@query(f"WITH {_COO_SQL} SELECT r, c, v AS value FROM coo")
+def share_reconstruct_2d(spark, d):
+    return S.reconstruct(*S.split(_coo(spark, d), "v", "r", "c"), "r", "c")
+
+
+@query(f"WITH {_BATCH_SQL} SELECT m, r, c, v AS value FROM coo")
+def share_reconstruct_3d(spark, d):
+    return S.reconstruct(*S.split(_batch(spark, d), "v", "m", "r", "c"), "m", "r", "c")
 
 
 @query("SELECT o_orderkey, o_custkey - o_orderkey AS value FROM orders")
@@ -684,29 +746,37 @@ def bool_subtract(spark, d):
     return table(spark, d, "orders").select("o_orderkey", R.subtract(F.col("o_custkey"), F.col("o_orderkey")).alias("value"))
 
 
-# --- generators: rows only ----------------------------------------------------------------------------------
+# --- generators -----------------------------------------------------------------------------------------------
+
+
+def _uniform_sql(seed: int, i: str) -> str:
+    return f"CAST(('0x' || substr(md5('{seed}-' || {i}), 1, 13)) AS BIGINT) / 4503599627370496.0::DOUBLE"
+
+
+_CELLS_SQL = f"SELECT i // 150 AS m, i % 150 // 15 AS r, i % 15 AS c, {_uniform_sql(1, 'i')} * 10 AS v FROM range(600) AS r(i)"
+_GRID_SQL = f"SELECT i // 30 AS r, i % 30 AS c, {_uniform_sql(1, 'i')} * 10 AS v FROM range(600) AS r(i)"
 
 
-@query(None)
+@query(f"SELECT i, CASE WHEN {_uniform_sql(2, 'i')} < 0.5 THEN -1 ELSE 1 END * ({_uniform_sql(1, 'i')} * 10) AS v FROM range(1000) AS r(i)")
 def random_1d(spark, d):
     return G.random_vector(spark, 1000, signed=True)
 
 
-@query(None)
+@query(f"SELECT i, {_uniform_sql(1, 'i')} * 10 - 5 AS v FROM range(1000) AS r(i)")
 def random_1d_range(spark, d):
     return G.random_vector(spark, 1000, low=-5.0, high=5.0)
 
 
-@query(None)
+@query(_GRID_SQL)
 def random_2d(spark, d):
     return G.random_matrices(spark, 1, 20, 30).drop("m")
 
 
-@query(None)
+@query(_CELLS_SQL)
 def random_3d(spark, d):
     return G.random_matrices(spark, 4, 10, 15)
 
 
-@query(None)
+@query(f"WITH a AS ({_GRID_SQL}) SELECT x.r, y.r AS c, round(sum(x.v * y.v), 6) AS v FROM a x JOIN a y ON x.c = y.c GROUP BY ALL")
 def random_gram(spark, d):
-    return M.gram(random_2d(spark, d))
+    return M.gram(random_2d(spark, d)).withColumn("v", F.round("v", 6))
