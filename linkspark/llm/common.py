@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import os
 import tempfile
 import uuid
@@ -126,6 +128,16 @@ def parts(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         yield batch.slice(at, step)
 
 
+def give_back() -> None:
+    """Returns free memory to the machine: workers live on between tasks, and what
+    one of them keeps the others on its executor lack."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
 def map_batches(df: DataFrame, make: Callable[[], Callable], schema: str, whole: bool = False) -> DataFrame:
     """``mapInArrow`` of one function per slice of a batch, or (``whole``) of one that
     goes through all batches of a task; ``make`` builds it once a task."""
@@ -134,10 +146,12 @@ def map_batches(df: DataFrame, make: Callable[[], Callable], schema: str, whole:
         each = make()
         if whole:
             yield from each(batches)
-            return
-        for batch in batches:
-            for part in parts(batch):
-                yield each(part)
+        else:
+            for batch in batches:
+                for part in parts(batch):
+                    yield each(part)
+        del each
+        give_back()
 
     small_batches(df.sparkSession)
     return df.mapInArrow(run, schema)
@@ -171,7 +185,7 @@ class IdStore:
 
     ENTRY = 160  # bytes of a word besides its letters and ids
 
-    def __init__(self, limit: int = 64 << 20, **columns):
+    def __init__(self, limit: int = 32 << 20, **columns):
         self.limit, self.kinds = limit, {"start": np.int64, "size": np.int32, "uses": np.int32} | columns
         self.clear()
 

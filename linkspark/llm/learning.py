@@ -2,16 +2,18 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import few, learn_side, materialize, scratch
+from .common import few, give_back, learn_side, materialize, scratch
 
 SAMPLE_BYTES = 64 << 20  # of the texts of a class
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, target: str, modulus: int, held: int, per_class: tuple[int, int], sample_bytes: int = SAMPLE_BYTES) -> list[tuple[int, str, int]]:
-    """(doc_id, text, label) of at most ``per_class[y]`` rows of class y.
+def labelled_sample(docs: DataFrame, labels: DataFrame, target: str, modulus: int, held: int, per_class: tuple[int, int], of: Callable = str, sample_bytes: int = SAMPLE_BYTES) -> list[tuple]:
+    """(doc_id, ``of`` the text, label) of at most ``per_class[y]`` rows of class y.
 
     Documents are taken in the order of a hash of their id, never those that the
     contract holds out (crc32(doc_id) mod ``modulus`` = ``held``), until there are enough
@@ -49,5 +51,9 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, target: str, modulus: in
                     picked.append((doc_id,))
                     left[y] -= 1
                     room[y] -= size
-            rows = found.join(few(spark.createDataFrame(picked, "doc_id long"), len(picked)), "doc_id").collect() if picked else []
-            return sorted((r.doc_id, r.text, r.y) for r in rows)
+            if not picked:
+                return []
+            rows = found.join(few(spark.createDataFrame(picked, "doc_id long"), len(picked)), "doc_id")
+            out = [(r.doc_id, of(r.text), r.y) for r in rows.orderBy("doc_id").select("doc_id", "text", "y").toLocalIterator()]
+            give_back()
+            return out

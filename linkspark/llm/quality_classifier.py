@@ -111,19 +111,24 @@ class Subwords:
         return (self.e @ (self.out[1] - self.out[0])).astype(np.float64), float(self.bias[1] - self.bias[0])
 
 
-def train(docs: DataFrame, labels: DataFrame, modulus: int = 5, held: int = 0, per_class: tuple[int, int] = (4000, 4000), dim: int = 16, updates: int = 48_000, step: float = 0.5, seed: int = 9):
-    """The features' logits and the bias, from at most ``per_class`` labelled rows (bad, good).
+def fitted(docs: DataFrame, labels: DataFrame, modulus: int = 5, held: int = 0, per_class: tuple[int, int] = (4000, 4000), dim: int = 16, updates: int = 48_000, step: float = 0.5, seed: int = 9):
+    """The model of at most ``per_class`` labelled rows (bad, good); None without both.
 
     The steps are as many at any size: few rows are gone through more often.
     """
-    rows = labelled_sample(docs, labels, "quality", modulus, held, per_class)
+    rows = labelled_sample(docs, labels, "quality", modulus, held, per_class, doc_features)
     y = np.array([r[2] for r in rows], np.int64)
     if len(set(y.tolist())) < 2:
         return None
-    ready = [doc_features(text) for _, text, _ in rows]
     model = Subwords(dim, seed)
-    model.fit(ready, y, max(1, updates // len(ready)), step, seed)
-    return model.logits()
+    model.fit([r[1] for r in rows], y, max(1, updates // len(rows)), step, seed)
+    return model
+
+
+def train(docs: DataFrame, labels: DataFrame, modulus: int = 5, held: int = 0, **how) -> tuple[np.ndarray, float] | None:
+    """The features' logits and the bias."""
+    model = fitted(docs, labels, modulus, held, **how)
+    return model and model.logits()
 
 
 def _scorer(model):
