@@ -1,12 +1,14 @@
 """Operator 5, embedding near-duplicates by sorted projection passes.
 
 Vectors of one label, less the label's mean, are ordered by the signs of their
-projections on random directions, concatenated to a key; each is compared with those within a window
-after it. Every pass has its own directions, so what one pass puts far apart
-another brings together; verified pairs of all passes are united. Vectors in
-dense places have more partners than a window holds: in a second step all
-vectors of a found component are compared with each other, in blocks, which
-gives each vector the exact number of its links. Only counts leave a block.
+projections on random directions, concatenated to a key; each is compared with those
+within a window after it. Every pass has its own directions, so what one pass puts far
+apart another brings together; verified pairs of all passes are united. Vectors in
+dense places have more partners than a window holds: in a second step the vectors
+of a found component are compared with each other, in blocks, which gives each
+vector the exact number of its links. Only counts leave a block. Of a component that
+fills more than a block, those so close to its centre that any two of them link are
+counted and not compared; what is outside that core is compared with all it can link with.
 
 Equal vectors are one class from the start. Classes are dealt by position in the
 order, not by label, so a label of any size spreads evenly. A window ends where
@@ -14,8 +16,10 @@ its task's rows end; other passes cut elsewhere.
 
 Null labels, and vectors that are null, empty, zero or hold null or non-finite
 components, link with nothing (0 links, their own component); so do vectors of
-different lengths. A null vec_id names no component where another is known, and
-its row isn't kept.
+different lengths. Long vectors are compared whole. A null vec_id names no component
+where another is known, and its row isn't kept. Ties: rows that repeat a vec_id and
+a vector are each a row of the result. Columns besides vec_id, embedding and label
+aren't looked at, whatever their names. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -28,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import connected_components, map_batches, materialize, star_edges
+from .common import connected_components, map_batches, materialize, scratch, star_edges
 
 KEY_BITS = 62
 MEANS_BYTES = 16 << 20  # of the means that come to the driver, those of the largest labels
@@ -72,7 +76,7 @@ def classes(embeddings: DataFrame) -> tuple[DataFrame, DataFrame, bool]:
     every = materialize(every.withColumn("class", digest), "vectors")
     found = every.where("class is not null").groupBy("class").agg(F.first("label").alias("label"), F.first("dim").alias("dim"), F.first("vec").alias("vec"), F.count("*").alias("many"), F.min("vec_id").alias("least"))
     nodes = materialize(found.withColumn("node", F.monotonically_increasing_id()), "classes")
-    return every.select("vec_id", "class"), nodes, single
+    return every, nodes, single
 
 
 def label_means(nodes: DataFrame, single: bool, window: int) -> dict[tuple[str, int], np.ndarray]:
@@ -210,26 +214,97 @@ def _count(least: float, single: bool, block: int):
     return run
 
 
+def _by_root(single: bool):
+    """Per batch and root the sum of unit vectors."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            root, dim, vec = np.asarray(batch.column(0)), np.asarray(batch.column(1)), batch.column(2)
+            roots, sums = [], []
+            for r in np.unique(root).tolist():
+                at = np.flatnonzero(root == r)
+                roots.append(r)
+                sums.append(unit(_matrix(vec.take(pa.array(at)), int(dim[at[0]]), single)).sum(axis=0).tolist())
+            yield pa.RecordBatch.from_arrays([pa.array(roots, pa.int64()), pa.array(sums, pa.list_(pa.float64()))], ["root", "sums"])
+
+    return run
+
+
+def _kinds(least: float, single: bool):
+    """Adds ``kind``: 0 so close to the centre that any two of this kind link, 1 close
+    enough to link with one of them, 2 farther away."""
+    half = np.arccos(least) / 2
+    core, far = np.cos(half) + 1e-9, np.cos(min(3 * half + 1e-6, np.pi))
+
+    def make():
+        def each(batch: pa.RecordBatch) -> pa.RecordBatch:
+            dim, kind = np.asarray(batch.column(3)), np.empty(batch.num_rows, np.int32)
+            for d in np.unique(dim).tolist():
+                at = np.flatnonzero(dim == d)
+                x = unit(_matrix(batch.column(4).take(pa.array(at)), d, single))
+                c = np.asarray(batch.column(5).take(pa.array(at)).flatten()).reshape(-1, d)
+                near = (x * c).sum(axis=1) / np.maximum(np.sqrt((c * c).sum(axis=1)), 1e-300)
+                kind[at] = np.where(near >= core, 0, np.where(near >= far, 1, 2))
+            return pa.RecordBatch.from_arrays([*batch.columns[:5], pa.array(kind)], ["root", "node", "many", "dim", "vec", "kind"])
+
+        return each
+
+    return make
+
+
+def _counted(cells: DataFrame, single: bool, least: float, block: int) -> DataFrame:
+    dealt = cells.select("root", "lo", "hi", "own", "node", "many", "dim", "vec").repartition("root", "lo", "hi").sortWithinPartitions("root", "lo", "hi", "node")
+    return map_batches(dealt, lambda: _count(least, single, block), "node long, links long", whole=True)
+
+
 def count_links(nodes: DataFrame, roots: DataFrame, single: bool, least: float, block: int) -> DataFrame:
-    """node, links: rows linked with the class, without its own."""
-    size = roots.groupBy("root").count().select("root", F.ceil(F.col("count") / block).cast("int").alias("k"))
-    joined = roots.join(size, "root").join(nodes.select("node", "many", "dim", "vec"), "node")
-    own = F.pmod(F.xxhash64("node"), F.col("k")).cast("int")
-    each = joined.withColumn("own", own).select("*", F.explode(F.sequence(F.lit(0), F.col("k") - 1)).alias("j"))
-    cells = each.select("root", F.least("own", "j").alias("lo"), F.greatest("own", "j").alias("hi"), "own", "node", "many", "dim", "vec")
-    dealt = cells.repartition("root", "lo", "hi").sortWithinPartitions("root", "lo", "hi", "node")
-    return map_batches(dealt, lambda: _count(least, single, block), "node long, links long", whole=True).groupBy("node").agg(F.sum("links").alias("links"))
+    """node, links: rows linked with the class, without its own.
+
+    What fits a block is compared pair by pair. In a larger component all vectors
+    within half the angle of ``least`` of its centre link with each other without
+    being compared (one far group of near copies is such a core); pairs with one
+    outside the core are compared, block by block, but for those too far away to
+    link with the core.
+    """
+    size = roots.groupBy("root").agg(F.count("*").alias("n"))
+    joined = materialize(roots.join(size, "root").join(nodes.select("node", "many", "dim", "vec"), "node").select("root", "node", "many", "dim", "vec", "n"), "members")
+    zero = F.lit(0)
+    found = _counted(joined.where(F.col("n") <= block).select("*", zero.alias("lo"), zero.alias("hi"), zero.alias("own")), single, least, block)
+    large = joined.where(F.col("n") > block)
+    if large.isEmpty():
+        return found.groupBy("node").agg(F.sum("links").alias("links"))
+    sums = map_batches(large.select("root", "dim", "vec"), lambda: _by_root(single), "root long, sums array<double>", whole=True)
+    cells = sums.select("root", F.posexplode("sums").alias("k", "x")).groupBy("root", "k").agg(F.sum("x").alias("x"))
+    centre = materialize(cells.groupBy("root").agg(F.transform(F.sort_array(F.collect_list(F.struct("k", "x"))), lambda c: c["x"]).alias("centre")), "centres")
+    told = large.select("root", "node", "many", "dim", "vec").join(centre, "root").select("root", "node", "many", "dim", "vec", "centre")
+    told = materialize(map_batches(told, _kinds(least, single), "root long, node long, many long, dim int, vec binary, kind int"), "kinds")
+    of = lambda k: F.count(F.when(F.col("kind") == k, 1))
+    blocks = lambda k: F.ceil(of(k) / block).cast("int")
+    plan = told.groupBy("root").agg(blocks(0).alias("kc"), blocks(1).alias("rn"), blocks(2).alias("rf"), F.coalesce(F.sum(F.when(F.col("kind") == 0, F.col("many"))), F.lit(0)).alias("core"))
+    plan = materialize(plan, "plan")
+    placed = told.join(plan, "root")
+    inner = placed.where("kind = 0").select("node", (F.col("core") - F.col("many")).alias("links"))
+    # blocks 0 to kc - 1 of the core, -1 to -rn of those near, then rf of those far
+    h = F.xxhash64("node")
+    own = F.when(F.col("kind") == 0, F.pmod(h, F.col("kc"))).when(F.col("kind") == 1, -1 - F.pmod(h, F.col("rn"))).otherwise(-1 - F.col("rn") - F.pmod(h, F.col("rf")))
+    lowest = -F.col("rn") - F.col("rf")
+    other = F.when(F.col("kind") == 0, F.when(F.col("rn") > 0, F.sequence(-F.col("rn"), F.lit(-1)))).when(F.col("kind") == 1, F.sequence(lowest, F.col("kc") - 1)).otherwise(F.sequence(lowest, F.lit(-1)))
+    outer = placed.withColumn("own", own.cast("int")).select("root", "node", "many", "dim", "vec", "own", F.explode(other).alias("j"))
+    outer = outer.select("*", F.least("own", "j").alias("lo"), F.greatest("own", "j").alias("hi"))
+    return found.unionByName(inner).unionByName(_counted(outer, single, least, block)).groupBy("node").agg(F.sum("links").alias("links"))
 
 
 def embedding_components(embeddings: DataFrame, least: float = 0.98, window: int = 48, passes: int = 48, passes_at_once: int = 4, block: int = 1024, seed: int = 5) -> DataFrame:
     """vec_id, n_links, component_id and kept of every row of ``embeddings``."""
-    rows, nodes, single = classes(embeddings)
-    roots = materialize(connected_components(window_edges(nodes, single, least, window, passes, passes_at_once, seed)), "roots")
-    links = count_links(nodes, roots, single, least, block)
-    known = nodes.select("node", "class", "many", "least").join(roots, "node", "left").join(links, "node", "left")
-    known = materialize(known.select("class", "least", F.coalesce("root", "node").alias("root"), (F.coalesce("links", F.lit(0)) + F.col("many") - 1).alias("n_links")), "classes")
-    low = known.groupBy("root").agg(F.min("least").alias("component_id"))
+    with scratch(embeddings.sparkSession) as keep:
+        rows, nodes, single = classes(embeddings)
+        roots = materialize(connected_components(window_edges(nodes, single, least, window, passes, passes_at_once, seed)), "roots")
+        links = count_links(nodes, roots, single, least, block)
+        known = nodes.select("node", "class", "many", "least").join(roots, "node", "left").join(links, "node", "left")
+        known = materialize(known.select("class", "least", F.coalesce("root", "node").alias("root"), (F.coalesce("links", F.lit(0)) + F.col("many") - 1).alias("n_links")), "classes")
+        low = materialize(known.groupBy("root").agg(F.min("least").alias("component_id")), "low")
+        keep(known, low, rows)
     named = known.join(low, "root").select("class", "n_links", "component_id", F.lit(True).alias("linked"))
-    out = rows.join(named, "class", "left")
+    out = rows.select("vec_id", "class").join(named, "class", "left")
     component = F.when(F.col("linked"), F.col("component_id")).otherwise(F.col("vec_id"))
     return out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.coalesce(component == F.col("vec_id"), F.lit(False)).alias("kept"))
