@@ -369,12 +369,15 @@ def test_a_very_long_text(spark):
 # --- 4 ---
 
 
-def slow_rules(text, window=8):
-    w = re.findall(r"[^\x20\x09-\x0D]+", text or "")
+def slow_covered(w, window):
     seen = defaultdict(list)
     for i in range(len(w) - window + 1):
         seen[tuple(w[i : i + window])].append(i)
-    covered = {i + k for at in seen.values() if len(at) > 1 for i in at for k in range(window)}
+    return {i + k for at in seen.values() if len(at) > 1 for i in at for k in range(window)}
+
+
+def slow_rules(text, min_words=5):
+    w = re.findall(r"[^\x20\x09-\x0D]+", text or "")
     longest = 0
     for i in range(len(w)):
         for j in range(i + 1, len(w)):
@@ -383,7 +386,8 @@ def slow_rules(text, window=8):
                 n += 1
             longest = max(longest, n)
     lines = [x for x in (text or "").split("\n") if re.search(r"[^\x20\x09-\x0D]", x)]
-    return len(w), sum(map(len, w)), sum(c in "#*$%&|<>" for c in text or ""), len(lines) - len(set(lines)), len(covered), longest if longest >= window else 0
+    base = len(w), sum(map(len, w)), sum(c in "#*$%&|<>" for c in text or ""), len(lines) - len(set(lines)), len(slow_covered(w, 8))
+    return base, longest if longest >= min_words else 0, slow_covered(w, min_words)
 
 
 def test_quality_rules(spark):
@@ -392,13 +396,33 @@ def test_quality_rules(spark):
     for _ in range(60):
         parts = [words(r, r.randint(1, 30), "ab") for _ in range(4)]
         texts.append("\n".join(r.choice(parts) for _ in range(r.randint(1, 6))) + r.choice(["", " ###", "\n\n"]))
-    texts.append("z " * 300)
+    # the fraction limit alone decides: repeats of six words, which the base rule's windows don't see
+    six = [words(r, 6, "abcdefgh") for _ in range(6)]
+    shares = "".join(f"{s} {words(r, 5, 'ijklmn')} {s} {words(r, 5, 'opqrst')} " for s in six)
+    few = f"{six[0]} {words(r, 60, 'ijklmn')} {six[0]} {words(r, 60, 'opqrst')}"
+    texts += ["z " * 300, shares, few, words(r, 70, "abcdefghij") * 1]
+    verdicts = {}
     for g in quality_rules.quality_rules(frame(spark, texts)).collect():
-        want = slow_rules(texts[g.doc_id])
-        assert (g.n_words, g.word_chars, g.n_symbols, g.n_dup_lines, g.n_repeat_words, g.longest_repeat) == want, texts[g.doc_id]
-        assert g.base_failed == (want[0] < 20 or 100 * want[4] > 30 * want[0])
-        assert g.kept == (not g.base_failed and want[5] <= 50)
-        assert sum(s.end - s.start for s in g.spans) == want[4]
+        base, longest, covered = slow_rules(texts[g.doc_id])
+        assert (g.n_words, g.word_chars, g.n_symbols, g.n_dup_lines, g.n_repeat_words) == base and g.longest_repeat == longest, texts[g.doc_id]
+        assert g.base_failed == (base[0] < 20 or 100 * base[4] > 30 * base[0])
+        assert g.covered_share == len(covered) / max(base[0], 1)
+        assert g.kept == (not g.base_failed and longest <= 50 and len(covered) <= 0.25 * base[0])
+        assert {k for s in g.spans for k in range(s.start, s.end)} == covered
+        verdicts[g.doc_id] = g.base_failed, g.kept
+    k = texts.index(shares)
+    assert verdicts[k] == (False, False) and verdicts[k + 1] == verdicts[k + 2] == (False, True)
+    assert quality_rules.quality_rules(frame(spark, texts).where("false")).count() == 0
+
+
+def test_quality_rules_of_a_long_text(spark):
+    r = random.Random(61)
+    passage = words(r, 60)
+    long = f"{passage} {words(r, 250_000, 'abcdefghijkl')} {passage}"
+    df = spark.createDataFrame([(1, long), (2, "a " * 300_000)], "doc_id long, text string")
+    got = {g.doc_id: g for g in quality_rules.quality_rules(df).collect()}
+    assert got[1].longest_repeat >= 60 and not got[1].kept and not got[1].base_failed
+    assert got[2].n_repeat_words == 300_000 and got[2].longest_repeat == 299_999
 
 
 # --- 5 ---
@@ -426,6 +450,27 @@ def test_embeddings(spark):
     assert embedding_dedup.embedding_components(df.where("false")).count() == 0
 
 
+@pytest.mark.parametrize("spread", [0.03, 0.2])
+def test_links_of_large_components_are_exact(spark, spread):
+    rng = np.random.default_rng(8)
+    centre = rng.normal(size=24)
+    centre /= np.linalg.norm(centre)
+    near = centre + spread * rng.normal(size=(260, 24)) / 24**0.5
+    step = rng.normal(size=24)
+    chain = centre + np.outer(np.linspace(0, 1.5, 60), step / np.linalg.norm(step))  # leads out of the core, link by link
+    e = np.concatenate([near, chain, near[:5]]).astype(np.float32)
+    df = spark.createDataFrame([(k, [float(c) for c in v], 1) for k, v in enumerate(e)], "vec_id long, embedding array<float>, label int").withColumn("root", F.lit(1)).withColumn("kind", F.lit(2))
+    got = {g.vec_id: g for g in embedding_dedup.embedding_components(df, block=32).collect()}
+    u = e.astype(np.float64) / np.linalg.norm(e.astype(np.float64), axis=1)[:, None]
+    link = (u @ u.T) >= 0.98
+    assert [got[k].n_links for k in range(len(e))] == (link.sum(axis=1) - 1).tolist()
+    par = {k: k for k in range(len(e))}
+    for i, j in zip(*np.nonzero(link), strict=True):
+        a, b = find(par, int(i)), find(par, int(j))
+        par[max(a, b)] = min(a, b)
+    assert [got[k].component_id for k in range(len(e))] == [find(par, k) for k in range(len(e))]
+
+
 def test_embeddings_of_a_common_direction(spark):
     rng = np.random.default_rng(3)
     n, pairs, dim = 12_000, 300, 64
