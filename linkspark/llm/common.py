@@ -5,8 +5,6 @@ from __future__ import annotations
 import ctypes
 import gc
 import os
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 from contextvars import ContextVar
@@ -19,8 +17,10 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..storage import new_path
+
 #: Rows and bytes of an Arrow batch: documents are long, workers are small.
-BATCH_ROWS, BATCH_BYTES = 2048, 4 << 20
+BATCH_ROWS, BATCH_BYTES = 1024, 2 << 20
 
 #: Rows of a few short columns that may be broadcast (about 50 MB).
 BROADCAST_ROWS = 300_000
@@ -51,26 +51,6 @@ def small_batches(spark: SparkSession) -> None:
         spark.conf.set(name, str(BATCH_BYTES))
 
 
-def work_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share (``spark.checkpoint.dir``).
-
-    Where it is unset a temporary folder is made, but only for a local master:
-    on a cluster other machines could not see it.
-    """
-    conf = spark.sparkContext.getConf()
-    base = spark.conf.get("spark.checkpoint.dir", None) or conf.get("spark.checkpoint.dir", None)
-    if not base:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-        base = tempfile.mkdtemp(prefix="linkspark-")
-        spark.conf.set("spark.checkpoint.dir", base)
-    return base.rstrip("/")
-
-
-def new_path(spark: SparkSession, kind: str) -> str:
-    return f"{work_dir(spark)}/{kind}-{uuid.uuid4().hex}"
-
-
 _OPEN: ContextVar[list[str] | None] = ContextVar("open", default=None)
 
 
