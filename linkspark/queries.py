@@ -156,11 +156,11 @@ def link_all_plain(spark, d):
 
 @query(ORACLE_SQL["link_all"])
 def link_all_prefixes(spark, d):
-    """The same through bigram prefixes, as for two large tables."""
+    """The same with records that meet under keys, as for two large tables."""
     from .plans.prune import candidate_scores
 
     x, y = people_sides(spark, d)
-    scores = candidate_scores(x, y, PEOPLE, broadcast_rows=0)
+    scores = candidate_scores(x, y, PEOPLE, broadcast_rows=0, best_only=True)
     found = L.threshold_flag(L.argmax_group(scores), PEOPLE).where("is_match = 1")
     return L.all_flags(x, found, PEOPLE)
 
