@@ -41,8 +41,12 @@ def mersenne_mod(k: Column, bits: int) -> Column:
 
 
 def product_mod(x: Column, y: Column, m: Column) -> Column:
-    """x * y mod m without overflow, for factors below 2^62."""
-    return F.pmod(x.cast("decimal(19,0)") * y.cast("decimal(19,0)"), m.cast("decimal(19,0)")).cast("bigint")
+    """x * y mod m without overflow, with the sign of the product, as ``%`` has it.
+
+    x, y: whole numbers of up to 38 digits; they are reduced before they are multiplied.
+    """
+    m = m.cast("decimal(19,0)")
+    return ((x.cast(D38) % m) * (y.cast(D38) % m) % m).cast("bigint")
 
 
 def inverse_mod(a: Column, m: Column, steps: int = 93) -> Column:

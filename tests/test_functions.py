@@ -59,6 +59,16 @@ def test_numbers(spark):
     assert got == [0, *(factorial(n) for n in range(1, 21))]
 
 
+def test_products_of_large_keys(spark, tmp_path):
+    from linkspark.queries import mult_mod
+
+    m, keys = 2**61 - 1, [(0, 0), (2**23 - 1, 7), (2**23, 7), (9_000_000, 15_000), (2**62, 2**62), (2**63 - 1, 2**63 - 1), (-5, 3), (None, 1)]
+    spark.createDataFrame(keys, "o_orderkey long, o_custkey long").write.parquet(str(tmp_path / "orders.parquet"))
+    got = {r.o_orderkey: r.v for r in mult_mod(spark, str(tmp_path)).collect()}
+    product = lambda k, c: (k * 1099511627791 + 5) * (c + 1000003)
+    assert got == {k: None if k is None else abs(p := product(k, c)) % m * (1 if p >= 0 else -1) for k, c in keys}
+
+
 def test_files(spark, tmp_path):
     (tmp_path / "m.csv").write_text("1,2.5,3\n4,5,6\n")
     (tmp_path / "v.csv").write_text("1,2,3,0.5\n9,9\n")
